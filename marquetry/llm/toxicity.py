@@ -30,7 +30,7 @@ from marquetry.runtime import cut, fresh_name, read_table
 #: Bounds of the fitting sample and of the features selected from it; both documented.
 MOST_LABELS = 20_000
 MOST_FEATURES = 600
-LEAST_DOCUMENTS = 3
+LEAST_DOCUMENTS = 5
 SMOOTH = 100
 GRADES = 3
 TOXIC_AT = 0.5
@@ -78,7 +78,7 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
     )
     gap = F.col("t") / toxic - F.col("c") / clean
     score = F.round(gap / F.sqrt(F.col("q") / (toxic + clean) * (1 / toxic + 1 / clean)), 6)
-    best = stats.select("f", score.alias("z")).filter("z > 4").orderBy(F.desc("z"), "f").limit(most)
+    best = stats.select("f", score.alias("z")).filter("z > 6").orderBy(F.desc("z"), "f").limit(most)
     return sorted(r.f for r in best.collect())
 
 
@@ -113,7 +113,7 @@ class OrdinalModel:
         return float(sum(above)), int(np.argmax(each)), float(above[0])
 
 
-def fit_ordinal(rows: list[tuple[dict[int, float], int]], n_features: int, grades: int = GRADES, rounds: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[tuple[dict[int, float], int]], n_features: int, grades: int = GRADES, rounds: int = 400, ridge: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds by Adam on the mean log likelihood."""
     row = np.concatenate([np.full(len(x), i) for i, (x, _) in enumerate(rows)] or [np.array([])]).astype(int)
     col = np.array([k for x, _ in rows for k in x], int)
