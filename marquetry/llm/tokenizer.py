@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 
 #: Words whose handling below is the library's letter by letter: Latin, all in NFC.
-_PLAIN = re.compile("[!-~¡-ɏ]+")
+_PLAIN = re.compile("[!-~¡-ɏ]+").fullmatch
 _SPLIT = (
     "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 )
@@ -52,7 +53,7 @@ class WordCodec:
     through the library text by text.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -74,6 +75,7 @@ class WordCodec:
         self._special = [x["content"] for x in spec["added_tokens"]]
         self._pieces = regex.compile(_SPLIT).findall
         self._letters = _byte_letters()
+        self._tokenize = self.library.model.tokenize
         self._words = _Memo(self._word, keep)
         self._parts = _Memo(self._part, keep)
         self.joined_by_space = spec.get("decoder") is None
@@ -81,16 +83,20 @@ class WordCodec:
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
 
     def _part(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self._letters)
-        return np.array([x.id for x in self.library.model.tokenize(mapped)], "<u4").tobytes()
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+        return array("I", [x.id for x in self._tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self._special):
-            low = word.lower() if word.isascii() else "".join(c.lower() for c in word)
-            return b"".join(map(self._parts.__getitem__, self._pieces(low)))
-        return self.by_library(word)
+        if not _PLAIN(word) or "<" in word and any(s in word for s in self._special):
+            return self.by_library(word)
+        low = word.lower() if word.isascii() else "".join([c.lower() for c in word])
+        if low.isalpha():  # one run of letters is one piece
+            return self._parts[low]
+        if low[-1] in ".,!?" and low[:-1].isalpha():
+            return self._parts[low[:-1]] + self._parts[low[-1]]
+        return b"".join(map(self._parts.__getitem__, self._pieces(low)))
 
     def by_library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
