@@ -19,6 +19,8 @@ named like an output, which it replaces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +61,18 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
     """Features whose mean density differs most between toxic and clean, in units of
     its standard error; toxic ones only."""
 
-    @F.arrow_udf("array<struct<f:string,d:double>>")
-    def split(texts: pa.Array) -> pa.Array:
-        rows = [[{"f": f, "d": d} for f, d in densities(t).items()] for t in texts.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("f", pa.string()), ("d", pa.float64())])))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (y, feature, density) of some texts at a time, so that memory stays small."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ys, fs, ds = [], [], []
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = densities(text)
+                    ys += [y] * len(found)
+                    fs += found.keys()
+                    ds += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fs, pa.string()), pa.array(ds, pa.float64())], ["y", "f", "d"])
 
     totals = sample.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("all")).first()
     toxic = totals["toxic"] or 0
@@ -71,9 +81,9 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
         return []
     hit = F.col("y") == 1
     stats = (
-        sample.select("y", F.explode(split("text")).alias("x")).groupBy("x.f").agg(
-            F.count(F.when(hit, 1)).alias("n"), F.sum(F.when(hit, F.col("x.d")).otherwise(0.0)).alias("t"),
-            F.sum(F.when(hit, 0.0).otherwise(F.col("x.d"))).alias("c"), F.sum(F.col("x.d") * F.col("x.d")).alias("q"),
+        sample.select("text", "y").mapInArrow(split, "y int, f string, d double").groupBy("f").agg(
+            F.count(F.when(hit, 1)).alias("n"), F.sum(F.when(hit, F.col("d")).otherwise(0.0)).alias("t"),
+            F.sum(F.when(hit, 0.0).otherwise(F.col("d"))).alias("c"), F.sum(F.col("d") * F.col("d")).alias("q"),
         ).filter(F.col("n") >= LEAST_DOCUMENTS)
     )
     gap = F.col("t") / toxic - F.col("c") / clean
@@ -82,29 +92,45 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
     return sorted(r.f for r in best.collect())
 
 
+class _WordScores(dict):
+    """word -> sum of its features' weights; at most ``MOST_WORDS`` words at a time.
+
+    Every feature of four letters and more begins with one of ``heads``, so most words
+    are settled by one look at their first letters.
+    """
+
+    MOST_WORDS = 300_000
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+        self.heads = {f.partition(":")[2][:4] for f in weights}
+
+    def __missing__(self, word: str) -> float:
+        bare = word.strip(_EDGES).lower()
+        value = sum(self.weights.get(f, 0.0) for f in word_features(bare)) if bare[:4] in self.heads else 0.0
+        if len(self) >= self.MOST_WORDS:
+            self.clear()
+        self[word] = value
+        return value
+
+
 class OrdinalModel:
     """Weights by feature and ordered thresholds."""
 
     def __init__(self, names: list[str], weights: np.ndarray, thresholds: np.ndarray):
         self.weights = dict(zip(names, weights.tolist(), strict=True))
         self.thresholds = thresholds.tolist()
-        self._memo: dict[str, float] = {}
+        self._words: _WordScores | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}}
-
-    def word(self, word: str) -> float:
-        value = self._memo.get(word)
-        if value is None:
-            if len(self._memo) > 500_000:
-                self._memo.clear()
-            value = sum(self.weights.get(f, 0.0) for f in word_features(word))
-            self._memo[word] = value
-        return value
+        return {**self.__dict__, "_words": None}
 
     def score(self, text: str | None) -> float:
+        if self._words is None:
+            self._words = _WordScores(self.weights)
         words = (text or "").split()
-        return 1000 * sum(map(self.word, words)) / (len(words) + SMOOTH)
+        return 1000 * sum(map(self._words.__getitem__, words)) / (len(words) + SMOOTH)
 
     def severity(self, score: float) -> tuple[float, int, float]:
         """(expected severity, most likely grade, P(grade >= 1))."""
