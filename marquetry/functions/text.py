@@ -37,11 +37,14 @@ def split_identifier(name: Column) -> Column:
 
 
 def shingles(tokens: Column, k: int = 3) -> Column:
-    """Space-joined windows of ``k`` tokens, repeats kept; empty below ``k`` tokens."""
-    n = F.size(tokens)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Space-joined windows of ``k`` tokens, repeats kept; empty below ``k`` tokens.
+
+    The windows are zipped from ``k`` shifted slices: ``tokens`` is evaluated a few times
+    and never inside a lambda, where it would run once an element.
+    """
+    n = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+    rows = F.arrays_zip(*[F.slice(tokens, j + 1, n) for j in range(k)])
+    return F.transform(rows, lambda x: F.concat_ws(" ", *[x[str(j)] for j in range(k)]))
 
 
 KEYWORDS = (

@@ -15,7 +15,8 @@ from marquetry.runtime import cut
 
 def document_grams(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, gram)``: the distinct word k-grams of each text."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(shingles(words(F.col(text_col)), k))).alias("gram"))
+    w = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    return w.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("gram"))
 
 
 def gram_index(tokens: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def minhash(docs: DataFrame, *, n: int = 128, k: int = 3, seed: int = 1, id_col:
             out.append(low.view(np.int64).tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
-    return docs.select(F.col(id_col).alias("doc_id"), sketch(F.array_distinct(shingles(words(F.col(text_col)), k))).alias("sig"))
+    w = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    return w.select("doc_id", sketch(F.array_distinct(shingles(F.col("w"), k))).alias("sig"))
 
 
 def lsh_shape(n: int, threshold: float) -> tuple[int, int]:

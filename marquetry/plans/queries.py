@@ -136,12 +136,12 @@ def virtual_targets(spark, sf):
 
 @query()
 def rapid_types(spark, sf):
-    """Rapid type analysis: brands as types, parts of size 50 instantiate theirs."""
+    """Rapid type analysis: brands as types, large parts instantiate theirs."""
     part, e = read_table(spark, sf, "part"), edges(spark, sf)
     methods = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class"), F.col("p_name").alias("name"))
-    made = part.filter("p_size % 10 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class"))
-    direct = e.filter("src % 2 = 0")
-    return G.rapid_types(direct, seeds(spark, sf).filter("kind = 'production'").select("id"), e.filter("src % 2 = 1").select("src", F.col("dst").alias("target")), made, methods)
+    made = part.filter("p_size >= 45").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class"))
+    direct = e.filter("src < dst")
+    return G.rapid_types(direct, seeds(spark, sf).filter("kind = 'production'").select("id"), e.filter("src > dst").select("src", F.col("dst").alias("target")), made, methods)
 
 
 @query(f"""WITH {EDGES_SQL} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT p_brand) FROM part) AS files,
@@ -218,30 +218,31 @@ def cosine_pairs(spark, sf):
     return S.cosine_pairs(v, threshold=0.35, by="label", id_col="vec_id", vec_col="embedding").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_SPANS = "(SELECT row_number() OVER (ORDER BY event_id) AS id, event_type AS file, user_id * 3 AS s, user_id * 3 + event_id % 5 AS t FROM events WHERE user_id % 7 = 0)"
-
-
 def _spans(spark, sf):
-    e = read_table(spark, sf, "events").filter("user_id % 7 = 0")
+    e = read_table(spark, sf, "events")
     return e.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("file"), (F.col("user_id") * 3).alias("start"), (F.col("user_id") * 3 + F.col("event_id") % 5).alias("end")
     )
 
 
-@query("""WITH s AS (SELECT event_id AS id, event_type AS file, user_id * 3 AS a, user_id * 3 + event_id % 5 AS z FROM events WHERE user_id % 7 = 0)
+@query("""WITH s AS (SELECT event_id AS id, event_type AS file, user_id * 3 AS a, user_id * 3 + event_id % 5 AS z FROM events)
 SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.file = y.file AND x.id < y.id AND x.a <= y.z AND y.a <= x.z""")
 def interval_overlaps(spark, sf):
     return S.interval_overlaps(_spans(spark, sf))
 
 
-@query("""WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 7)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'appeared' WHEN b.doc_id IS NULL THEN 'disappeared' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS event
-FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
+_HALF = "2024-01-16"
+
+
+@query(f"""WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '{_HALF}' GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_HALF}' GROUP BY ALL)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.n IS NULL THEN 'appeared' WHEN b.n IS NULL THEN 'disappeared' WHEN a.n = b.n THEN 'unchanged' ELSE 'changed' END AS event
+FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
 def snapshot_events(spark, sf):
-    d = read_table(spark, sf, "documents")
-    old = d.filter("doc_id % 10 <> 3").select("doc_id", F.md5("text").alias("h"))
-    new = d.filter("doc_id % 10 <> 7").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
-    return S.snapshot_events(old, new, keys=["doc_id"], value="h")
+    """What each user did before and after a date, as two snapshots."""
+    e = read_table(spark, sf, "events")
+    count = lambda part: part.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    cut_at = F.lit(_HALF).cast("timestamp")
+    return S.snapshot_events(count(e.filter(F.col("ts") < cut_at)), count(e.filter(F.col("ts") >= cut_at)), keys=["user_id", "event_type"], value="n")
 
 
 @query("SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
@@ -347,10 +348,10 @@ def line_rule(spark, sf):
     return lines.filter(F.col("line").rlike(r"(?i)licensed under|released under")).select(F.col("file").cast("long").alias("doc_id"), "line_no", "line")
 
 
-@query("""WITH b AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations WHERE conv_id < 40)
+@query("""WITH b AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations)
 SELECT x.conv_id, x.turn AS a, y.turn AS b FROM b x JOIN b y ON x.conv_id = y.conv_id AND x.turn < y.turn WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) >= 0.15""")
 def comment_clones(spark, sf):
-    c = read_table(spark, sf, "conversations").filter("conv_id < 40")
+    c = read_table(spark, sf, "conversations")
     return R.block_clones(c.select(F.col("conv_id").alias("file"), F.col("turn").alias("block"), F.col("text").alias("text")), threshold=0.15).select(F.col("file").alias("conv_id"), "a", "b")
 
 
