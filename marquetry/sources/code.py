@@ -212,7 +212,7 @@ class _Flow:
 
 #: What opens a function, by language family; the first group is the name.
 FUNCTIONS = {
-    "javascript": r"(?:\bfunction\s*\*?\s*(\w+)\s*\()|(?:\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>)",
+    "javascript": r"(?:\bfunction\s*\*?\s*(\w+)\s*\()|(?:\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>)|(?:^\s*(?:async\s+|static\s+|get\s+|set\s+)*(\w+)\s*\([^;{}()]*\)\s*\{)",
     "go": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", "rust": r"\bfn\s+(\w+)", "ruby": r"^\s*def\s+(?:self\.)?([\w?!=]+)",
     "php": r"\bfunction\s+(\w+)\s*\(", "swift": r"\bfunc\s+(\w+)", "kotlin": r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\(",
     "scala": r"\bdef\s+(\w+)", "r": r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(", "bash": r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{", "python": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(",
@@ -231,7 +231,7 @@ _IMPORTS = [
 _NOT_CALLS = frozenset("if for while switch catch return function fn func def match sizeof typeof new class elif with and or not in is lambda do else when".split())
 
 
-def _scope_end(lines: list[str], at: int, language: str) -> int:
+def scope_end(lines: list[str], at: int, language: str) -> int:
     """Number of the last line of what opens on line ``at`` (from 0)."""
     if language == "ruby":
         indent = len(lines[at]) - len(lines[at].lstrip())
@@ -266,14 +266,14 @@ def _by_patterns(source: str, language: str) -> list[tuple]:
         c = _CLASS.search(line)
         if c:
             parents = [p.strip().split("<")[0].split()[-1] for g in c.groups()[1:] if g for p in re.split(r",|\bimplements\b", g) if p.strip()]
-            spans.append((i, _scope_end(lines, i, language), c[1], "class", "public", parents))
+            spans.append((i, scope_end(lines, i, language), c[1], "class", "public", parents))
         f = opens.search(line)
         if f and not c:
             name = next(g for g in f.groups() if g)
             if name not in _NOT_CALLS:
                 hidden = re.search(r"\bprivate\b|\bstatic\b.*\bvoid\b", line) and family in ("java", "c") or family == "rust" and "pub" not in line or family == "go" and name[0].islower()
                 marks = [lines[k].strip() for k in range(max(0, i - 3), i) if re.match(r"\s*(?:@\w|#\[)", lines[k])]
-                spans.append((i, _scope_end(lines, i, language), name, "function", "private" if hidden else "public", marks))
+                spans.append((i, scope_end(lines, i, language), name, "function", "private" if hidden else "public", marks))
     for a, b, name, tag, seen, items in spans:
         around = [s for s in spans if s[0] < a and b <= s[1]]
         rows.append((tag, name, ".".join(s[2] for s in sorted(around)), a + 1, b + 1, seen, items))
