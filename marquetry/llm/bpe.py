@@ -151,11 +151,11 @@ def encode_text(text: str, store: ChunkStore, mean: int = 2048) -> bytes:
             window = data[held_at : begin + chunk.first_end].decode()
             ids = words.by_library(window)
             before = held.last if held else b""
-            if not (ids.startswith(before) and ids.endswith(chunk.first) and len(ids) >= len(before) + len(chunk.first)):
-                return words.by_library(text)
-            out.append(ids)
-            out.append(chunk.inner)
-            held, held_at = chunk, begin + chunk.last_at
+            if ids.startswith(before) and ids.endswith(chunk.first) and len(ids) >= len(before) + len(chunk.first):
+                out.append(ids)
+                out.append(chunk.inner)
+                held, held_at = chunk, begin + chunk.last_at
+            # else no agreement: this chunk's ids are not used, and the window grows over it
         begin = end
     tail = words.by_library(data[held_at:].decode())
     if held and not tail.startswith(held.last):

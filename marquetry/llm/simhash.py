@@ -7,7 +7,8 @@ its row of a table of Hamming distances to 16 fixed pivots; by the triangle ineq
 a pair whose rows differ by more than 4 in any coordinate is discarded, and survivors
 are checked on the fingerprints. A key's members are linked by a search that compares
 each frontier member with the unreached ones only, and gives one edge per member
-reached: no key gives all its pairs, however many copies it holds.
+reached: no key gives all its pairs, however many copies it holds. Keys with very many
+distinct fingerprints are cut in cells, so that none is gathered in one task.
 
 Equal fingerprints are collapsed first (one row a fingerprint moves on), and the
 components of what is left are found on fingerprints' smallest ids.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.operators.components import connected_components
-from marquetry.runtime import cut, fresh_name, read_table
+from marquetry.runtime import cut, fresh_name, lookup_join, read_table
 
 MAX_BITS = 4
 SEED = 42
@@ -146,6 +147,8 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 SMALL = 8
+#: Distinct fingerprints of one key in a cell; rows of larger keys are dealt over blocks.
+CELL = 16_384
 
 
 def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +170,23 @@ def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``(fp, rep)`` of distinct fingerprints -> ``(a, b)`` that connect all that link."""
+def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+    """``(fp, rep)`` of distinct fingerprints -> ``(a, b)`` that connect all that link.
+
+    Keys with more than ``cell`` fingerprints are counted first. Their rows are dealt over
+    blocks, and each pair of blocks is a cell of its own, so every pair still meets and no
+    task gathers such a key.
+    """
     keyed = distinct.select(F.explode(_keys()).alias("key"), "fp", "rep")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
+    large = cut(counts.select("key", F.ceil(F.col("size") / cell).cast("long").alias("blocks")))
+    if large.limit(1).count():
+        dealt = lookup_join(keyed, large, ["key"])
+        block = F.pmod(F.xxhash64(F.lit(3), "fp"), F.coalesce("blocks", F.lit(1)))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
+        spread = dealt.withColumn("block", block).withColumn("other", others)
+        pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+        keyed = spread.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp", "rep")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long").distinct()
 
 

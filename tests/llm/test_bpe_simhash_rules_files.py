@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from marquetry.llm import bpe, registry, rules, simhash, token_files
 from marquetry.llm.tokenizer import WordCodec, default_path
+from marquetry.operators.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -220,3 +221,12 @@ def test_token_files_layout(spark, tmp_path, lib):
     assert some == {i: [*expected_ids(lib, ODD[i]), 2] for i in (5, 6)}
     token_files.write_token_files(docs.limit(0), str(tmp_path / "e"), default_path())
     assert token_files.document_starts(token_files.read_token_files(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_large_keys_are_cut_in_cells(spark):
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 2**62))
+    values = {centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2)) if a != b}
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(sorted(values))], "fp long, rep long")
+    got = connected_components(simhash.links(rows, cell=16)).collect()
+    assert len(got) == len(values) and {r.component for r in got} == {0}
