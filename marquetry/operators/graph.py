@@ -429,16 +429,11 @@ def rapid_types(edges: DataFrame, entries: DataFrame, virtual: DataFrame, instan
         reached = cut(reached.union(reach(edges, fresh).select("id")).distinct())
 
 
-def variable_types(allocations: DataFrame, assignments: DataFrame, *, max_rounds: int = 100) -> DataFrame:
-    """Variable type analysis: ``(var, class)`` grown along ``assignments(src, dst)``."""
-    now = cut(allocations.select("var", "class").distinct())
-    for _ in range(max_rounds):
-        moved = assignments.join(now, assignments.src == now["var"]).select(F.col("dst").alias("var"), "class").distinct()
-        fresh = cut(moved.join(now, ["var", "class"], "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        now = cut(now.union(fresh))
-    return now
+def variable_types(allocations: DataFrame, assignments: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+    """Variable type analysis: ``(var, class)`` grown along ``assignments(src, dst)``. It is
+    reachability with a class for the kind of each seed."""
+    seeds = allocations.select(F.col("var").alias("id"), F.col("class").alias("kind"))
+    return reach(assignments, seeds, max_depth=max_depth).select(F.col("id").alias("var"), F.col("kind").alias("class"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
