@@ -216,16 +216,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it.
+    """``docs`` with one row of each component of fingerprints.
 
-    Of repeated rows of that id all stay but the first by text. Rows with a null id stay
-    when nothing names their component, one for each fingerprint.
+    Rows are told apart by id and fingerprint: the smallest id stays (a null id only where
+    the component has no other), then the smallest fingerprint; of rows equal in both, the
+    first by text, then by the other columns.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    losers = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    name = fresh_name(docs.columns, "__gone")
-    losers = losers.withColumnRenamed("gone", name)
-    return docs.join(losers, docs[id_col] == losers[name], "left_anti")
+    prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
+    lost = F.col("doc_id").isNull().alias("lost")
+    groups = cut(prints.groupBy("fp").agg(F.min(F.struct(lost, "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")))
+    comps = connected_components(links(groups.select("fp", F.col("fp").alias("rep"))))
+    linked = cut(
+        groups.join(comps, F.col("fp") == F.col("id"), "left").filter("n > 1 or id is not null")
+        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    )
+    best = linked.groupBy("component").agg(F.min(F.struct("first.lost", "first.doc_id", "fp")).alias("best"))
+    judged = lookup_join(prints, linked.join(best, "component").select("fp", "best"), ["fp"]).filter("best is not null")
+    wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("fp") == F.col("best.fp"))
+    rows = cut(judged.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"), F.min(wins).alias("wins")))
+
+    mark = fresh_name(docs.columns, "__fp")
+    flag = fresh_name([*docs.columns, mark], "__repeated")
+    names = {"doc_id": id_col, "fp": mark}
+    on = [id_col, mark]
+
+    @F.arrow_udf("long")
+    def printed(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t) for t in texts.to_pylist()], pa.int64())
+
+    kept = lookup_join(
+        docs.withColumn(mark, printed(docs[text_col])), rows.filter("not wins").select("doc_id", "fp").withColumnsRenamed(names),
+        on, how="left_anti",
+    )
+    repeated = rows.filter("wins and n > 1").select("doc_id", "fp").withColumnsRenamed(names).withColumn(flag, F.lit(True))
+    if repeated.limit(1).count():
+        kept = lookup_join(kept, repeated, on)
+        plain = [c for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind]
+        order = F.struct(*[F.col(f"`{c}`") for c in [text_col, *plain]])
+        row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(flag)
+        kept = kept.filter(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).union(
+            kept.filter(flag).groupBy(*on).agg(row).select(f"{flag}.*")
+        )
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,15 @@ def test_simhash_odd_rows(spark):
     assert kept.columns == frame(spark, texts).columns
 
 
+def test_representatives_are_chosen_by_row(spark):
+    texts = {"A": "a b c d e", "a": "A B c d e", "B": "other unique words stand here", "N": "rows without any id at all", "M": "null ids here name nothing else"}
+    rows = [(1, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "N"), (None, "N"), (None, "M"), (7, "M"), (7, "M"), (1, "a"), (8, "B")]
+    docs = frame(spark, [texts[t] for _, t in rows], [i for i, _ in rows])
+    got = simhash.keep_representatives(docs).select("doc_id", "text").collect()
+    want = [(1, texts["a"]), (5, texts["B"]), (7, texts["M"]), (None, texts["N"])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def brute_measures(text):
     import re
 
