@@ -3,7 +3,8 @@
 Features are the densities (hits per thousand words, with ``SMOOTH`` words added) of
 words and word beginnings of four to seven letters. Of those in a bounded sample of
 labelled rows, the ``MOST_FEATURES`` that tell toxic from clean best are selected by a
-grouped aggregate. Grades of the sample: 0 for clean; toxic ones 1, 2 or 3 by terciles
+grouped aggregate, by a margin that falls with the best one's: few labels can't reach a
+fixed one. Grades of the sample: 0 for clean; toxic ones 1, 2 or 3 by terciles
 of the total density of the selected features. The model is ``P(grade <= k) =
 sigmoid(theta_k - w . x)``: one weight vector for all ordered thresholds, fitted by
 gradient steps on the driver, where only the sparse rows of the sample are. The result
@@ -12,13 +13,15 @@ is the expected severity, ``sum_k P(grade >= k)``, and the most likely grade.
 Scoring is one pass without a shuffle; the sum of a word's weights is kept in a memo.
 
 Edge cases: a null text counts as empty and scores as the model scores no features;
-without labels of both kinds severity is zero for all; repeated rows get equal scores;
+without labels of both kinds severity is zero for all, and when no feature tells them
+apart, with a warning; repeated rows get equal scores;
 an empty table gives an empty result; other columns pass through, but for those
 named like an output, which it replaces.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,14 @@ from marquetry.runtime import cut, fresh_name, read_table
 #: Bounds of the fitting sample and of the features selected from it; both documented.
 MOST_LABELS = 20_000
 MOST_FEATURES = 600
+#: Toxic documents with a feature, or a quarter of all of them if that is fewer.
 LEAST_DOCUMENTS = 5
+#: A feature's z must exceed the lesser of this and ``MARGIN_SHARE`` of the best z, which is
+#: near sqrt(share of toxic rows * clean rows) and so has no fixed height; and its mean
+#: density among toxic rows must be at least ``LEAST_RATIO`` times that among clean ones.
+MARGIN = 6
+MARGIN_SHARE = 0.75
+LEAST_RATIO = 2
 SMOOTH = 100
 GRADES = 3
 TOXIC_AT = 0.5
@@ -84,12 +94,17 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
         sample.select("text", "y").mapInArrow(split, "y int, f string, d double").groupBy("f").agg(
             F.count(F.when(hit, 1)).alias("n"), F.sum(F.when(hit, F.col("d")).otherwise(0.0)).alias("t"),
             F.sum(F.when(hit, 0.0).otherwise(F.col("d"))).alias("c"), F.sum(F.col("d") * F.col("d")).alias("q"),
-        ).filter(F.col("n") >= LEAST_DOCUMENTS)
+        ).filter(F.col("n") >= min(LEAST_DOCUMENTS, (toxic + 3) // 4))
     )
     gap = F.col("t") / toxic - F.col("c") / clean
     score = F.round(gap / F.sqrt(F.col("q") / (toxic + clean) * (1 / toxic + 1 / clean)), 6)
-    best = stats.select("f", score.alias("z")).filter("z > 6").orderBy(F.desc("z"), "f").limit(most)
-    return sorted(r.f for r in best.collect())
+    effect = F.col("t") / toxic >= LEAST_RATIO * F.col("c") / clean
+    best = stats.filter(effect).select("f", score.alias("z")).filter("z > 0").orderBy(F.desc("z"), "f").limit(most).collect()
+    if not best:
+        warnings.warn(f"no feature tells {toxic} toxic from {clean} clean rows: severity is zero for all", stacklevel=2)
+        return []
+    least = min(MARGIN, MARGIN_SHARE * best[0].z)
+    return sorted(r.f for r in best if r.z > least)
 
 
 class _WordScores(dict):

@@ -64,6 +64,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r.expected_severity for r in bad]) > 1 > 0.2 > np.mean([r.expected_severity for r in clean])
 
 
+def test_toxic_documents_are_found_with_few_labels(spark):
+    docs, labels = docs_of(spark, SMALL), labels_of(spark, SMALL)
+    judged = toxicity.classify_toxicity(docs, labels).join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    bad, clean = [r for r in judged if r.truth], [r for r in judged if not r.truth]
+    assert len(bad) == 11 and sum(not r.kept for r in bad) >= 7
+    assert all(r.kept for r in clean)
+
+
+@pytest.mark.parametrize("share", [(8, 20), (3, 12), (10, 10)])
+def test_features_do_not_vanish_with_the_labels(spark, share):
+    toxic, clean = share
+    rows = [(f"plain{i % 7} talk about vileness word{i}", 1) for i in range(toxic)]
+    rows += [(f"plain{i % 7} talk about gardens word{i}", 0) for i in range(clean)]
+    assert "w:vileness" in toxicity.select_features(spark.createDataFrame(rows, "text string, y int"))
+
+
 def test_ordinal_fit_orders_thresholds():
     rng = np.random.default_rng(4)
     rows = []
