@@ -1,20 +1,18 @@
 """Embedding near-duplicates with randomised binary codes and exact verification.
 
-Vectors are compared inside their label. Equal vectors are collapsed first. Candidates
-come from ``TABLES`` hash tables of ``BITS`` signs each, taken from independent random
-rotations. Inside a bucket each vector has its binary code under one more rotation and
-the code's correction factor ``f = <code, vector>``: ``<code, other> / f`` is an
-unbiased estimate of the inner product, wrong by ``EPS * sqrt((1 - f^2) / (f^2 (d-1)))``
-at most but for a vanishing share of pairs. A pair is recomputed in double precision
-only when its upper bound reaches the threshold (and no earlier table has both in one
-bucket), and linked only by the recomputed cosine, so no false link is possible.
-
-Buckets are cut in cells of at most twice ``CELL`` rows: rows of a larger bucket are
-dealt over blocks, and each pair of blocks is one cell, so nothing is dropped and no
-task gathers a bucket. A cell returns a count and a root for each linked vector, never
-its pairs.
-
-Recall at a cosine of exactly 0.93 is 1 - (1 - 0.88^10)^16 = 0.994, and higher above.
+Vectors are compared inside their label, each with each. Equal vectors are collapsed
+first. Each vector has its binary code under a random rotation and the code's correction
+factor ``f = <code, vector>``. The angle between two vectors is at least the difference of
+their angles to the code, so a pair at the threshold ``t`` or above has ``<code, other> >=
+t f - sqrt(1 - t^2) sqrt(1 - f^2)``. That bound holds for every pair and decides which
+pairs are recomputed in double precision; they are linked by the recomputed cosine, so
+no link is false and none is lost. (``bounds`` has the unbiased estimate ``<code, other> /
+f`` and its error, ``EPS`` standard deviations, which a vanishing share of pairs exceeds.)
+
+Labels are cut in cells of at most twice ``CELL`` rows: rows of a larger label are dealt
+over blocks, and each pair of blocks is one cell, so nothing is dropped and no task
+gathers a label. A cell returns a count and a root for each linked vector, never its
+pairs. Work grows with the square of a label's distinct vectors.
 
 Edge cases: null labels, null, zero or empty vectors, and null or non-finite components
 link with nothing and form components of their own; vectors of different length are
@@ -36,8 +34,6 @@ from marquetry.operators.components import connected_components
 from marquetry.runtime import cut, lookup_join, read_table
 
 THRESHOLD = 0.93
-TABLES = 16
-BITS = 10
 EPS = 4.5
 CELL = 8192
 _BLOCK = 1024
@@ -59,18 +55,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def table_keys(x: np.ndarray) -> np.ndarray:
-    """Bucket numbers of unit rows in each table; rotation 0 is kept for the codes."""
-    dim = x.shape[1]
-    signs: list[np.ndarray] = []
-    number = 0
-    while sum(s.shape[1] for s in signs) < TABLES * BITS:
-        number += 1
-        signs.append(x @ rotation(dim, number).T >= 0)
-    bits = np.concatenate(signs, axis=1)[:, : TABLES * BITS].reshape(len(x), TABLES, BITS)
-    return bits @ (1 << np.arange(BITS))
-
-
 def binary_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rotated rows, codes of length one, correction factors)."""
     turned = x @ rotation(x.shape[1], 0).T
@@ -85,20 +69,13 @@ def bounds(codes: np.ndarray, factors: np.ndarray, others: np.ndarray) -> tuple[
     return (codes @ others.T) / factors[:, None], error
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.asarray(batch.column(1).value_lengths())
-        flat = np.asarray(batch.column(1).flatten(), dtype=np.float64)
-        begins = np.cumsum(sizes) - sizes
-        keys = np.zeros((batch.num_rows, TABLES), np.int64)
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            keys[at] = table_keys(unit(flat[begins[at][:, None] + np.arange(dim)]))
-        ends = pa.array(np.arange(0, TABLES * (batch.num_rows + 1), TABLES, dtype=np.int32)[: batch.num_rows + 1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["node", "vec", "n", "label", "keys"])
-
-
-def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+def least_product(factors: np.ndarray) -> np.ndarray:
+    """The least inner product of a code with any vector that links with the coded row."""
+    spread = np.sqrt(np.maximum(1 - factors**2, 0)) * np.sqrt(1 - THRESHOLD**2)
+    return THRESHOLD * factors - spread - 1e-7
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of one cell at a time, out of rows sorted by cell."""
     held: pa.Table | None = None
     for batch in batches:
@@ -115,27 +92,23 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, n
         yield held
 
 
-def link_cell(x: np.ndarray, weight: np.ndarray, block: np.ndarray, table: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links of each row and its lowest linked row number; pairs of equal blocks count
-    only in a cell of one block. The third value counts recomputed pairs."""
+def link_cell(x: np.ndarray, weight: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links of each row and its lowest linked row number, of rows sorted by block; pairs
+    of equal blocks count only in a cell of one block. The third value counts recomputed
+    pairs."""
     n = len(x)
     links, root, exact = np.zeros(n, np.int64), np.arange(n), 0
     turned, codes, factors = binary_codes(x)
-    mixed = len(np.unique(block)) > 1
-    for i in range(0, n, _BLOCK):
-        for j in range(i, n, _BLOCK):
-            a, b = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
-            estimate, error = bounds(codes[a], factors[a], turned[b])
-            maybe = estimate + error[:, None] >= THRESHOLD
+    least = least_product(factors)
+    first = int(np.searchsorted(block, block[-1]))  # 0 in a cell of one block
+    for i in range(0, first or n, _BLOCK):
+        for j in range(first or i, n, _BLOCK):
+            a, b = slice(i, min(i + _BLOCK, first or n)), slice(j, j + _BLOCK)
+            maybe = codes[a] @ turned[b].T >= least[a][:, None]
             if i == j:
                 maybe = np.triu(maybe, 1)
-            if mixed:
-                maybe &= block[a][:, None] != block[b][None, :]
             p, q = np.nonzero(maybe)
             p, q = p + i, q + j
-            if table and len(p):
-                fresh = ~(keys[p, :table] == keys[q, :table]).any(axis=1)
-                p, q = p[fresh], q[fresh]
             exact += len(p)
             for at in range(0, len(p), 65_536):
                 u, v = p[at : at + 65_536], q[at : at + 65_536]
@@ -164,8 +137,7 @@ def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, weight = cell.column("node").to_numpy(), cell.column("n").to_numpy()
         vecs = cell.column("vec").combine_chunks()
         x = unit(np.asarray(vecs.flatten(), dtype=np.float64).reshape(cell.num_rows, -1))
-        keys = np.asarray(cell.column("keys").combine_chunks().flatten()).reshape(cell.num_rows, TABLES)
-        links, root, _ = link_cell(x, weight, cell.column("block").to_numpy(), int(cell.column("tab")[0].as_py()), keys)
+        links, root, _ = link_cell(x, weight, cell.column("block").to_numpy())
         hit = np.flatnonzero(links)
         if len(hit):
             yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[root[hit]])], names)
@@ -173,27 +145,19 @@ def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cell_links(nodes: DataFrame) -> DataFrame:
     """``(node, vec, n, label)`` of distinct vectors -> ``(node, links, root)`` by cell."""
-    kinds = dict(nodes.dtypes)
-    keyed = nodes.select("node", "vec", "n", "label").mapInArrow(
-        _keyed, f"node long, vec {kinds['vec']}, n long, label {kinds['label']}, keys array<long>"
-    )
-    rows = keyed.select("node", "vec", "n", "label", "keys", F.posexplode("keys").alias("tab", "bucket"))
-    rows = rows.withColumn("cell0", F.xxhash64("label", F.size("vec"), "tab", "bucket"))
-    # Buckets above CELL rows, a short list: at most TABLES rows in CELL are in it.
-    slim = keyed.select("label", F.size("vec").alias("dim"), F.posexplode("keys").alias("tab", "bucket"))
+    rows = nodes.select("node", "vec", "n", F.xxhash64("label", F.size("vec")).alias("cell0"))
+    # Labels above CELL rows: at most one row in CELL is in that list.
     large = (
-        slim.select(F.xxhash64("label", "dim", "tab", "bucket").alias("cell0")).groupBy("cell0")
-        .agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CELL)
-        .select("cell0", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
+        rows.groupBy("cell0").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CELL)
+        .select("cell0", F.ceil(F.col("size") / CELL).cast("long").alias("blocks"))
     )
     dealt = lookup_join(rows, large, ["cell0"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks").cast("long"))
-    dealt = dealt.withColumn("block", block)
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.withColumn(
         "cell", F.xxhash64("cell0", F.least("block", "other"), F.greatest("block", "other"))
-    ).select("cell", "node", "vec", "n", "keys", "tab", "block")
-    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link, "node long, links long, root long")
+    ).select("cell", "node", "vec", "n", "block")
+    return spread.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(_link, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:

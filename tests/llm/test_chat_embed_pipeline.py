@@ -116,6 +116,22 @@ def test_cells_of_a_large_bucket_lose_nothing(spark, monkeypatch):
     assert whole[0][1] == 119 and {r[2] for r in whole} == {0}
 
 
+def test_op8_loses_no_link_at_the_threshold(spark, monkeypatch):
+    """Pairs at cosines just above and below the threshold, in one cell and in several."""
+    rng = np.random.default_rng(21)
+    one = embed.unit(rng.normal(size=(3000, 64)))
+    side = rng.normal(size=one.shape)
+    side = embed.unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    cosine = rng.choice([0.9301, 0.9299], 3000)[:, None]
+    two = cosine * one + np.sqrt(1 - cosine**2) * side
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([one, two]))], "vec_id long, embedding array<double>, label int")
+    want = [int(c > 0.93) for c in cosine[:, 0]] * 2
+    for cell in (embed.CELL, 1000):
+        monkeypatch.setattr(embed, "CELL", cell)
+        got = {r.vec_id: r.n_links for r in embed.near_duplicates(frame).collect()}
+        assert [got[k] for k in range(6000)] == want
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     x = embed.unit(rng.normal(size=(400, 64)))
