@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import KEYWORDS, code_tokens, hamming, normalise_token
 from marquetry.operators.similarity import cross_language_pairs, hash_groups, interval_overlaps, lsh_pairs, minhash
+from marquetry.runtime import cut
 from marquetry.sources.code import scope_end as _scope_end
 
 
@@ -36,6 +36,8 @@ def function_signatures(functions: DataFrame, *, n: int = 128, k: int = 3) -> Da
 
 def code_simhash(functions: DataFrame) -> DataFrame:
     """``(id, simhash, line_count)``: keywords weigh 3, placeholders 1, other tokens 2."""
+    from xxhash import xxh64_intdigest
+
     words = frozenset(KEYWORDS)
 
     @F.arrow_udf("long")
@@ -47,7 +49,7 @@ def code_simhash(functions: DataFrame) -> DataFrame:
                 continue
             kinds, counts = np.unique(np.array(row, object).astype(str), return_counts=True)
             weight = np.array([3 if t in words else 1 if t[0] == "$" and len(t) > 1 else 2 for t in kinds]) * counts
-            hashes = np.array([xxhash.xxh64_intdigest(t) for t in kinds], np.uint64)
+            hashes = np.array([xxh64_intdigest(t) for t in kinds], np.uint64)
             bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
             total = ((2 * bits.astype(np.int64) - 1) * weight[:, None]).sum(axis=0)
             value = sum(1 << i for i in range(64) if total[i] > 0)
@@ -58,16 +60,27 @@ def code_simhash(functions: DataFrame) -> DataFrame:
     return rows.select("id", sketch("t").alias("simhash"), "line_count")
 
 
+#: Bits up to which pigeonhole blocks have four bits at least; and rows of a cell beyond.
+PIGEONHOLE_BITS = 15
+CELL = 8192
+
+
 def hamming_pairs(prints: DataFrame, bits: int) -> DataFrame:
     """Pairs ``(a, b, distance)`` of ``(id, simhash)`` at most ``bits`` apart, exactly.
 
-    Pigeonhole: of ``bits + 1`` blocks one is equal. Equal prints are collapsed before
-    and come back as pairs with their smallest id. Above 15 bits blocks are too short
-    to select anything; use ``file_clones`` there.
+    Equal prints are collapsed before and come back as pairs with their smallest id. Up to
+    15 bits, of ``bits + 1`` blocks one is equal (pigeonhole). Above, such blocks are too
+    short to select anything: prints are dealt over blocks of rows, and each pair of blocks
+    is a cell whose distances are counted eight bytes at a time. That work grows with the
+    square of the distinct prints, in cells of bounded size.
     """
-    if bits > 15:
-        raise ValueError("blocks would be shorter than four bits; verify banded candidates instead")
     groups = prints.groupBy("simhash").agg(F.min("id").alias("rep"))
+    same = prints.join(groups, "simhash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    far = _hamming_cells(groups, bits) if bits > PIGEONHOLE_BITS else _hamming_blocks(groups, bits)
+    return far.unionByName(same)
+
+
+def _hamming_blocks(groups: DataFrame, bits: int) -> DataFrame:
     edges = np.linspace(0, 64, bits + 2).astype(int)
     keys = [
         F.xxhash64(F.lit(i), F.shiftrightunsigned("simhash", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1 if b - a < 64 else -1)))
@@ -76,20 +89,58 @@ def hamming_pairs(prints: DataFrame, bits: int) -> DataFrame:
     keyed = groups.select("rep", "simhash", F.explode(F.array(*keys)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     apart = hamming(F.col("x.simhash"), F.col("y.simhash"))
-    far = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (apart <= bits)).select(
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (apart <= bits)).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), apart.alias("distance")
     ).distinct()
-    same = prints.join(groups, "simhash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return far.unionByName(same)
+
+
+def _hamming_cells(groups: DataFrame, bits: int) -> DataFrame:
+    groups = cut(groups.filter("rep is not null"))
+    blocks = max(1, -(-groups.count() // CELL))
+    block = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks))
+    spread = groups.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    dealt = spread.select((low * blocks + high).alias("cell"), "block", "rep", "simhash")
+
+    def close(rows: pa.Table) -> pa.RecordBatch:
+        block, rep = rows.column("block").to_numpy(), rows.column("rep").to_numpy()
+        prints = rows.column("simhash").to_numpy().view(np.uint64)
+        first = int(np.searchsorted(block, block[-1]))  # 0 in a cell of one block
+        found = []
+        for i in range(first or len(prints)):
+            begin = first or i + 1
+            apart = np.bitwise_count(prints[begin:] ^ prints[i])
+            hit = np.flatnonzero(apart <= bits)
+            found.append((np.full(len(hit), i), hit + begin, apart[hit]))
+        one, two, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = np.minimum(rep[one], rep[two]), np.maximum(rep[one], rep[two])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, now]) if held is not None else now
+            ids, begin = held.column("cell").to_numpy(), 0
+            for end in (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist():
+                yield close(held.slice(begin, end - begin))
+                begin = end
+            held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield close(held)
+
+    return dealt.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long, distance int")
 
 
 def file_clones(files: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """Near-equal files: banded candidates, a fingerprint filter, the estimate last."""
+    """Near-equal files: candidates by their fingerprints' distance, exactly, then the
+    similarity that their signatures estimate."""
     most = int(np.ceil(64 * (1 - max(0.0, threshold - 0.1))))
-    prints = code_simhash(files)
-    pairs = lsh_pairs(function_signatures(files), threshold=threshold)
-    a, b = prints.select(F.col("id").alias("a"), F.col("simhash").alias("s")), prints.select(F.col("id").alias("b"), F.col("simhash").alias("t"))
-    return pairs.join(a, "a").join(b, "b").filter(hamming(F.col("s"), F.col("t")) <= most).select("a", "b", "similarity")
+    signatures = cut(function_signatures(files).filter("sig is not null"))
+    pairs = hamming_pairs(code_simhash(files).select("id", "simhash"), most)
+    a, b = signatures.select(F.col("doc_id").alias("a"), F.col("sig").alias("s")), signatures.select(F.col("doc_id").alias("b"), F.col("sig").alias("t"))
+    same = F.aggregate(F.zip_with("s", "t", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v) / F.size("s")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 #: Line kinds that all languages share, in order of precedence.

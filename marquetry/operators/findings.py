@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.runtime import running_total
+
 CONFIDENCE = {"certain": 1.0, "high": 0.8, "medium": 0.6, "low": 0.3}
 SEVERITY = {"critical": 1.0, "high": 0.8, "medium": 0.6, "low": 0.4, "info": 0.2}
 RANK = {"low": 0, "medium": 1, "high": 2, "certain": 3}
@@ -67,9 +69,9 @@ def p90_threshold(scores: DataFrame) -> float | None:
     """The element at place floor(0.9 n) of the sorted scores; counts of distinct scores
     are run over, so rows with equal scores cost one row."""
     counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy("score")
-    placed = counts.select("score", F.sum("n").over(run).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    row = placed.filter(F.col("upto") > F.floor(F.col("total") * 0.9)).agg(F.min("score").alias("s")).first()
+    place = F.floor(F.lit(scores.count()) * 0.9)
+    placed = running_total(counts, ["score"], F.col("n"), "below")
+    row = placed.filter(F.col("below") + F.col("n") > place).agg(F.min("score").alias("s")).first()
     return row["s"] if row else None
 
 

@@ -2,21 +2,22 @@
 
 Traversals are semi-naive: a round joins only the frontier with the edges, and each
 round is written to the shared checkpoint folder. A graph of at most ``LOCAL_EDGES``
-edges (counted first) is walked by one Arrow task instead, as job start-up would be
-most of the time; results are the same.
+edges and nodes (both counted first) is walked by one Arrow task instead, as job start-up
+would be most of the time; results are the same, and ``local_edges=0`` turns it off.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquetry.runtime import cut
+from marquetry.runtime import cut, running_total
 
 LOCAL_EDGES = 500_000
 
@@ -89,6 +90,11 @@ def _adjacency(rows) -> dict:
     return out
 
 
+def _fits(edges: DataFrame, nodes: DataFrame, most: int) -> bool:
+    """Whether a graph may be walked in one task; both its tables are counted."""
+    return most > 0 and all(t.limit(most + 1).count() <= most for t in (edges, nodes))
+
+
 def _local(edges: DataFrame, seeds: DataFrame, body, schema: str) -> DataFrame:
     """Run ``body(edges, seeds)`` over whole small tables in one task."""
     tagged = edges.select(F.lit(0).alias("tag"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.lit(None).cast("string").alias("k")).union(
@@ -130,6 +136,13 @@ def _bfs(pairs, starts, limit=None):
     return out
 
 
+_FILES = 12
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(id, kind, depth)``: all that ``seeds(id[, kind])`` reach, with the least depth.
 
@@ -139,19 +152,20 @@ def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, l
         seeds = seeds.withColumn("kind", F.lit("seed"))
     seeds = seeds.select("id", F.col("kind").cast("string").alias("kind")).filter("id is not null").distinct()
     pairs = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    if pairs.limit(local_edges + 1).count() <= local_edges:
-        return _local(pairs, seeds, lambda p, s: _bfs(p, s, max_depth), "id long,kind string,depth int")
     pairs = cut(pairs)
-    seen = cut(seeds.withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    if _fits(pairs, seeds, local_edges):
+        return _local(pairs, seeds, lambda p, s: _bfs(p, s, max_depth), "id long,kind string,depth int")
+    seen = [cut(seeds.withColumn("depth", F.lit(0)))]
+    depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(pairs, frontier.id == pairs.src).select(F.col("dst").alias("id"), "kind").distinct()
-        frontier = cut(step.join(seen, ["id", "kind"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = seen[-1].withColumnsRenamed({"id": "at"}).join(pairs, F.col("at") == F.col("src")).select(F.col("dst").alias("id"), "kind").distinct()
+        frontier = cut(step.join(_all(seen), ["id", "kind"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        # A file a round; of many, those before the last are written as one.
+        seen = [*seen, frontier] if len(seen) < _FILES else [cut(_all(seen)), frontier]
+    return _all(seen)
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, **options) -> DataFrame:
@@ -178,10 +192,10 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, start: DataFrame, *, direct
 
 
 def trace_paths(edges: DataFrame, source: int, target: int, *, max_paths: int = 3, max_depth: int = 10) -> DataFrame:
-    """Shortest simple paths from source to target, at most ``max_paths`` of equal length.
+    """Shortest simple paths from source to target: the ``max_paths`` smallest by their nodes.
 
-    The frontier is pruned to nodes that reach the target in the steps left, so the
-    number of open paths stays near that of the answers.
+    The frontier is pruned to nodes that reach the target in the steps left, and holds at
+    most ``max_paths`` paths a node.
     """
     spark = edges.sparkSession
     pairs = cut(edges.select("src", "dst").distinct())
@@ -196,9 +210,11 @@ def trace_paths(edges: DataFrame, source: int, target: int, *, max_paths: int =
         ahead = left.filter(F.col("left") == row["left"] - step - 1)
         paths = (
             paths.join(pairs, F.col("last") == F.col("src")).join(ahead, F.col("dst") == F.col("node"))
-            .filter(~F.array_contains("path", F.col("dst")))
             .select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
         )
+        # What follows a node is the same for all paths to it, so its smallest ones are enough.
+        place = F.row_number().over(Window.partitionBy("last").orderBy("path"))
+        paths = cut(paths.withColumn("place", place).filter(F.col("place") <= max_paths).drop("place"))
     return paths.select("path", F.lit(row["left"]).cast("int").alias("depth")).orderBy("path").limit(max_paths)
 
 
@@ -246,38 +262,45 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, *, local_edges: int =
     Large graphs: forward and backward colouring. Each round, the smallest open node
     that reaches a node colours it; nodes that reach their colour back form components.
     """
-    pairs = edges.select("src", "dst").distinct()
-    ids = nodes.select("id").distinct()
-    if pairs.limit(local_edges + 1).count() <= local_edges:
+    pairs, ids = cut(edges.select("src", "dst").distinct()), cut(nodes.select("id").distinct())
+    if _fits(pairs, ids, local_edges):
         return _local(pairs, ids.withColumn("kind", F.lit("n")), _scc, "id long,component long")
-    open_, live, done = cut(ids), cut(pairs.filter("src <> dst")), None
+    # Columns are named afresh in each step, as all tables come from the same two.
+    open_, done = ids, []
+    live = cut(
+        pairs.filter("src <> dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+        .join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    )
     while open_.limit(1).count():
         colour = cut(open_.select("id", F.col("id").alias("c")))
         while True:
-            push = live.join(colour, live.src == colour.id).select(F.col("dst").alias("id"), "c")
-            following = cut(colour.union(push).groupBy("id").agg(F.min("c").alias("c")))
+            push = live.join(colour.select(F.col("id").alias("src"), "c"), "src").select(F.col("dst").alias("id"), "c")
+            following = cut(colour.unionByName(push).groupBy("id").agg(F.min("c").alias("c")))
             moved = following.join(colour, ["id", "c"], "left_anti").limit(1).count()
             colour = following
             if not moved:
                 break
-        own = live.join(colour, live.src == colour.id).select("src", "dst", "c").join(
+        own = live.join(colour.select(F.col("id").alias("src"), "c"), "src").join(
             colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst"
         ).filter("c = d")
         back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         found = reach(back, colour.filter("id = c").select("id"), local_edges=0).select("id")
         settled = cut(colour.join(found, "id", "left_semi").select("id", F.col("c").alias("component")))
-        done = settled if done is None else cut(done.union(settled))
-        open_ = cut(open_.join(settled, "id", "left_anti"))
-        live = cut(live.join(open_, live.src == open_.id, "left_semi").join(open_, live.dst == open_.id, "left_semi"))
-    return done if done is not None else ids.select("id", F.col("id").alias("component"))
+        done = [*done, settled] if len(done) < _FILES else [cut(_all(done)), settled]
+        open_ = cut(open_.join(settled.select("id"), "id", "left_anti"))
+        live = cut(
+            live.join(open_.select(F.col("id").alias("src")), "src", "left_semi")
+            .join(open_.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+        )
+    return _all(done) if done else ids.select("id", F.col("id").alias("component"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 100, cut_every: int = 5, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(id, score)`` after exactly ``rounds`` rounds; dangling mass is shared by all."""
-    ids = nodes.select("id").distinct()
-    pairs = edges.select("src", "dst").distinct()
-    pairs = pairs.join(ids, pairs.src == ids.id, "left_semi").join(ids, pairs.dst == ids.id, "left_semi")
-    if pairs.limit(local_edges + 1).count() <= local_edges:
+    ids = cut(nodes.select("id").distinct())
+    inner = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    pairs = cut(inner.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    if _fits(pairs, ids, local_edges):
 
         def body(links, starts):
             names = sorted({a for a, _ in starts})
@@ -298,18 +321,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     n = ids.count()
     out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = cut(pairs.join(out, "src"))
-    base = cut(ids.join(out, ids.id == out.src, "left").select("id", "out"))
-    score = base.select("id", "out", F.lit(1.0 / n).alias("score"))
-    for k in range(rounds):
+    base = cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out"))
+    score = base.select("id", "out", F.lit(1.0 / max(n, 1)).alias("score"))
+    for _ in range(rounds):
         got = links.join(score.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("score") / F.col("out")).alias("got")
         )
-        loose = score.filter("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        score = base.join(got, "id", "left").select(
-            "id", "out", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score")
-        )
-        if (k + 1) % cut_every == 0:
-            score = cut(score)
+        loose = score.filter("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))  # one row
+        flow = F.lit((1 - damping) / max(n, 1)) + damping * (F.col("loose") / max(n, 1) + F.coalesce("got", F.lit(0.0)))
+        score = cut(base.join(got, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", flow.alias("score")))
     return score.select("id", "score")
 
 
@@ -358,15 +378,15 @@ def importance(scores: DataFrame) -> DataFrame:
     """``(id, percentile, importance)`` from ``(id, pagerank, betweenness)``.
 
     A percentile is the share of nodes strictly below, so ``n`` divides it, not ``n - 1``.
-    Ranks come from counts of distinct scores, so that the sort runs over those only.
+    Ranks come from counts of distinct scores, summed over ranges of them.
     """
 
+    n = scores.count()
+
     def shares(column: str) -> DataFrame:
         counts = scores.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        run = Window.orderBy(column)
-        below = F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("n").over(Window.partitionBy())
-        return counts.select(F.col(column).alias(f"k_{column}"), (below / total).alias(f"p_{column}"))
+        below = running_total(counts, [column], F.col("n"), "below")
+        return below.select(F.col(column).alias(f"k_{column}"), (F.col("below") / n).alias(f"p_{column}"))
 
     a, b = shares("pagerank"), shares("betweenness")
     joined = scores.join(a, scores.pagerank == F.col("k_pagerank")).join(b, scores.betweenness == F.col("k_betweenness"))
@@ -379,8 +399,7 @@ def csr(edges: DataFrame) -> DataFrame:
     """``(src, offset, targets)``: sorted adjacency with the running number of edges
     before it. A source's list is as long as its degree."""
     lists = edges.select("src", "dst").distinct().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
-    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    return lists.select("src", F.coalesce(F.sum(F.size("targets")).over(before), F.lit(0)).alias("offset"), "targets")
+    return running_total(lists, ["src"], F.size("targets"), "offset").select("src", "offset", "targets")
 
 
 def closure(links: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -429,11 +448,11 @@ def rapid_types(edges: DataFrame, entries: DataFrame, virtual: DataFrame, instan
         reached = cut(reached.union(reach(edges, fresh).select("id")).distinct())
 
 
-def variable_types(allocations: DataFrame, assignments: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+def variable_types(allocations: DataFrame, assignments: DataFrame, **options) -> DataFrame:
     """Variable type analysis: ``(var, class)`` grown along ``assignments(src, dst)``. It is
     reachability with a class for the kind of each seed."""
     seeds = allocations.select(F.col("var").alias("id"), F.col("class").alias("kind"))
-    return reach(assignments, seeds, max_depth=max_depth).select(F.col("id").alias("var"), F.col("kind").alias("class"))
+    return reach(assignments, seeds, **options).select(F.col("id").alias("var"), F.col("kind").alias("class"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import cosine, shingles, words
 from marquetry.operators.components import connected_components
-from marquetry.runtime import cut
+from marquetry.runtime import BROADCAST_ROWS, cut, lookup_join, running_total
 
 
 def document_grams(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +58,13 @@ def overlap_pairs(grams: DataFrame, *, threshold: float = 0.8, stop: DataFrame |
 
 def contamination(grams: DataFrame, items: DataFrame) -> DataFrame:
     """Overlap of documents with benchmark items: ``(doc_id, item_id, shared, share)``."""
+    items = cut(items.select("item_id", "gram"))
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = grams.join(items, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    # One row a gram, so a table of items that was counted as small is broadcast, and grams
+    # that stand in no item never move.
+    holders = items.groupBy("gram").agg(F.collect_list("item_id").alias("held"))
+    found = lookup_join(grams, holders, ["gram"], how="inner")
+    hits = found.select("doc_id", F.explode("held").alias("item_id")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
     return hits.join(sizes, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("n")).alias("share"))
 
 
@@ -75,6 +79,8 @@ def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def minhash(docs: DataFrame, *, n: int = 128, k: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, sig array<long>)``; texts below ``k`` words have a null signature."""
 
+    from xxhash import xxh64_intdigest
+
     @F.arrow_udf("array<long>")
     def sketch(grams: pa.Array) -> pa.Array:
         mul, add = _permutations(n, seed)
@@ -83,7 +89,7 @@ def minhash(docs: DataFrame, *, n: int = 128, k: int = 3, seed: int = 1, id_col:
             if not row:
                 out.append(None)
                 continue
-            h = np.array([xxhash.xxh64_intdigest(g) for g in row], np.uint64)
+            h = np.array([xxh64_intdigest(g) for g in row], np.uint64)
             low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(h), 4096):
                 low = np.minimum(low, (h[at : at + 4096, None] * mul + add).min(axis=0))
@@ -146,12 +152,13 @@ def tf_idf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """``(doc_id, term, weight)``: ``(1 + ln tf)(ln((1 + n) / (1 + df)) + 1)``, L2-normed.
     Terms of one letter are left out."""
     terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(text_col))).alias("term")).filter(F.length("term") > 1)
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    raw = lookup_join(tf, df, ["term"], limit=4 * BROADCAST_ROWS).select("doc_id", "term", weight.alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def interval_overlaps(spans: DataFrame, *, slack: int = 0, width: int = 64) -> DataFrame:
@@ -206,7 +213,8 @@ def duplicated_lines(instances: DataFrame) -> DataFrame:
 def number_clusters(instances: DataFrame) -> DataFrame:
     """Clusters by total lines, largest first, numbered from 1."""
     sums = instances.groupBy("cluster").agg(F.sum("lines").alias("total_lines"), F.count(F.lit(1)).alias("n"))
-    return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_lines"), "cluster")))
+    order = sums.withColumn("__least", -F.col("total_lines"))
+    return running_total(order, ["__least", "cluster"], F.lit(1), "rank").withColumn("rank", (F.col("rank") + 1).cast("int")).drop("__least")
 
 
 def hash_groups(rows: DataFrame, key: str, *, least: int = 2) -> DataFrame:

@@ -13,23 +13,38 @@ from marquetry.operators import resolve as N
 from marquetry.operators import rules as U
 from marquetry.operators import similarity as S
 from marquetry.plans.adapters import EDGES_SQL, edges, nodes
-from marquetry.plans.queries import query
+from marquetry.plans.queries import ORACLES, query
 from marquetry.runtime import read_table
 from marquetry.streaming import incremental as I
 
 
-@query("""WITH p AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM embeddings),
+@query("""WITH p AS (SELECT vec_id AS id, (list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END)) - CASE WHEN embedding[64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT AS h FROM embeddings),
 g AS (SELECT h, min(id) AS rep FROM p GROUP BY h)
-SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM g x JOIN g y ON x.rep < y.rep WHERE bit_count(xor(x.h, y.h)) <= 12
+SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM g x JOIN g y ON x.rep < y.rep WHERE bit_count(xor(x.h, y.h)) <= 15
 UNION ALL SELECT rep, id, 0 FROM p JOIN g USING (h) WHERE id <> rep""")
 def fingerprint_pairs(spark, sf):
     """Hamming neighbours of sign fingerprints, by pigeonhole blocks."""
+    return C.hamming_pairs(_sign_prints(spark, sf), 15)
+
+
+def _sign_prints(spark, sf):
     v = read_table(spark, sf, "embeddings")
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(62)]
+    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for i in range(64)]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return C.hamming_pairs(v.select(F.col("vec_id").alias("id"), total.cast("long").alias("simhash")), 12)
+    return v.select(F.col("vec_id").alias("id"), total.cast("long").alias("simhash"))
+
+
+_SIGNS = """(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END)) - CASE WHEN embedding[64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT"""
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, {_SIGNS} AS h FROM embeddings), g AS (SELECT h, min(id) AS rep FROM p GROUP BY h)
+SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM g x JOIN g y ON x.rep < y.rep WHERE bit_count(xor(x.h, y.h)) <= 20
+UNION ALL SELECT rep, id, 0 FROM p JOIN g USING (h) WHERE id <> rep""")
+def distant_fingerprints(spark, sf):
+    """The same at 20 bits, where blocks select nothing and cells are compared."""
+    return C.hamming_pairs(_sign_prints(spark, sf), 20)
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, t("var", class) AS (SELECT p_partkey, p_brand FROM part WHERE p_size >= 45 UNION SELECT e.dst, t.class FROM t JOIN e ON e.src = t."var")
@@ -39,6 +54,12 @@ def variable_types(spark, sf):
     return G.variable_types(made, edges(spark, sf))
 
 
+@query(ORACLES["variable_types"])
+def variable_types_distributed(spark, sf):
+    made = read_table(spark, sf, "part").filter("p_size >= 45").select(F.col("p_partkey").alias("var"), F.col("p_brand").alias("class"))
+    return G.variable_types(made, edges(spark, sf), local_edges=0)
+
+
 @query(f"""WITH RECURSIVE {EDGES_SQL}, s(block) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT e.src FROM s JOIN e ON e.dst = s.block)
 SELECT 'f' AS func, block FROM s""")
 def backward_slice(spark, sf):

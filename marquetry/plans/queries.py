@@ -56,6 +56,12 @@ def reach_by_kind(spark, sf):
     return G.reach(edges(spark, sf), seeds(spark, sf)).select("id", "kind")
 
 
+@query(ORACLES["reach_by_kind"])
+def reach_by_kind_distributed(spark, sf):
+    """The way of graphs that one task can't hold."""
+    return G.reach(edges(spark, sf), seeds(spark, sf), local_edges=0).select("id", "kind")
+
+
 @query(f"""WITH {EDGES_SQL} SELECT p_partkey AS id, (SELECT count(*) FROM e WHERE dst = p_partkey) AS in_degree,
  (SELECT count(*) FROM e WHERE src = p_partkey) AS out_degree FROM part""")
 def degrees(spark, sf):
@@ -84,12 +90,28 @@ def pagerank_3(spark, sf):
     return G.pagerank(nodes(spark, sf), edges(spark, sf), rounds=3).select("id", F.round("score", 9).alias("score"))
 
 
+@query(ORACLES["pagerank_3"])
+def pagerank_3_distributed(spark, sf):
+    return G.pagerank(nodes(spark, sf), edges(spark, sf), rounds=3, local_edges=0).select("id", F.round("score", 9).alias("score"))
+
+
+@query()
+def pagerank(spark, sf):
+    """All hundred rounds."""
+    return G.pagerank(nodes(spark, sf), edges(spark, sf)).select("id", F.round("score", 9).alias("score"))
+
+
 @query(f"""WITH RECURSIVE {EDGES_SQL}, w(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b)
 SELECT p_partkey AS id, least(p_partkey, coalesce((SELECT min(w.b) FROM w JOIN w v ON v.a = w.b AND v.b = w.a WHERE w.a = p_partkey), p_partkey)) AS component FROM part""")
 def strong_components(spark, sf):
     return G.strongly_connected(nodes(spark, sf), edges(spark, sf))
 
 
+@query(ORACLES["strong_components"])
+def strong_components_distributed(spark, sf):
+    return G.strongly_connected(nodes(spark, sf), edges(spark, sf), local_edges=0)
+
+
 @query(f"""WITH {EDGES_SQL}, d AS (SELECT p_partkey AS id, (SELECT count(*) FROM e WHERE dst = p_partkey)::DOUBLE AS i, (SELECT count(*) FROM e WHERE src = p_partkey)::DOUBLE AS o FROM part),
 m AS (SELECT id, ((rank() OVER (ORDER BY i) - 1) / count(*) OVER () + (rank() OVER (ORDER BY o) - 1) / count(*) OVER ()) / 2 AS p FROM d)
 SELECT id, round(p, 9) AS percentile, CASE WHEN p >= 0.95 THEN 'critical' WHEN p >= 0.8 THEN 'high' WHEN p >= 0.2 THEN 'normal' ELSE 'low' END AS importance FROM m""")
@@ -104,11 +126,25 @@ def betweenness(spark, sf):
 
 
 @query()
+def importance(spark, sf):
+    """Classes of nodes by PageRank and betweenness."""
+    e, n = edges(spark, sf), nodes(spark, sf)
+    scores = G.pagerank(n, e).select("id", F.round("score", 9).alias("pagerank")).join(
+        G.betweenness(n, e).select("id", F.round("score", 9).alias("betweenness")), "id"
+    )
+    return G.importance(scores).select("id", F.round("percentile", 9).alias("percentile"), "importance")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, lo AS (SELECT min(src) AS s FROM e),
+b(id, depth) AS (SELECT s, 0 FROM lo UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = b.id WHERE depth < 6),
+far AS (SELECT id, min(depth) AS d FROM b GROUP BY id ORDER BY d DESC, id LIMIT 1),
+p(path, last, depth) AS (SELECT [s], s, 0 FROM lo UNION ALL SELECT list_append(path, e.dst), e.dst, depth + 1 FROM p JOIN e ON e.src = p.last WHERE depth < 6 AND NOT list_contains(path, e.dst))
+SELECT array_to_string(path, '>') AS path, depth FROM p JOIN far ON last = far.id AND depth = far.d ORDER BY p.path LIMIT 3""")
 def trace_paths(spark, sf):
     e = edges(spark, sf)
     low = e.agg(F.min("src")).first()[0]
     far = G.reach(e, spark.range(low, low + 1), max_depth=6).orderBy(F.desc("depth"), "id").first()["id"]
-    return G.trace_paths(e, low, far)
+    return G.trace_paths(e, low, far).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
 
 
 @query(f"""WITH {EDGES_SQL}, l AS (SELECT src, list(dst ORDER BY dst) AS t FROM e GROUP BY src)

@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow lookup table may be broadcast; counted before it is.
@@ -14,14 +14,20 @@ BROADCAST_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's, else (tests only) one of our own."""
+    """The shared folder for checkpoints and intermediate tables, from ``spark.checkpoint.dir``.
+
+    Without that setting a local session, whose tasks all run on one machine, gets a
+    temporary one. On a cluster it is an error: no other machine would see such a folder.
+    """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        tempfile.gettempdir(), "marquetry-checkpoints"
-    )
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = os.path.join(tempfile.gettempdir(), "marquetry-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -67,6 +73,21 @@ def lookup_join(
     return df.join(F.broadcast(renamed) if small else renamed, condition, how).drop(*left.values())
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` plus ``name``: the sum of ``value`` over all rows that come before in ``order``.
+
+    Rows are dealt over ranges of the order and written; sums run inside a range, and only
+    one total a range is summed in one task. Rows equal in ``order`` lie in one range.
+    """
+    part, own, low = (fresh_name([*df.columns, name], x) for x in ("__range", "__value", "__before"))
+    dealt = cut(df.withColumn(own, value).repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(F.sum(own).alias(own))
+    starts = totals.select(part, F.coalesce(F.sum(own).over(ahead(Window.orderBy(part))), F.lit(0)).alias(low))
+    inside = F.coalesce(F.sum(own).over(ahead(Window.partitionBy(part).orderBy(*order))), F.lit(0))
+    return lookup_join(dealt.withColumn(name, inside), starts, [part]).withColumn(name, F.col(name) + F.col(low)).drop(part, own, low)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
