@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.llm.tokenizer import text_slices
 from marquetry.runtime import cut, fresh_name, lookup_join, read_table
 
 #: Labelled rows that the document model is fitted on, at most (the first by a hash).
@@ -95,7 +96,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).tolist() for t in batch.column(1).to_pylist()]
+            rows = [features(t).tolist() for part in text_slices(batch.column(1)) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), batch.column(2)], ["id", "x", "y"])
 
     rows = sample.select(F.col("id").cast("string").alias("id"), "text", F.col("y").cast("int").alias("y")).mapInArrow(
@@ -116,7 +117,7 @@ def evidence(text: Column, weights: np.ndarray | None) -> Column:
 
     @F.arrow_udf("double")
     def logit(texts: pa.Array) -> pa.Array:
-        rows = [float(np.clip(features(t) @ np.array(w), -12, 12)) for t in texts.to_pylist()]
+        rows = [float(np.clip(features(t) @ np.array(w), -12, 12)) for part in text_slices(texts) for t in part.to_pylist()]
         return pa.array(np.round(rows, 9) if rows else [], pa.float64())
 
     return logit(text)

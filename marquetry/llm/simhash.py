@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.llm.tokenizer import slices, text_slices
 from marquetry.operators.components import connected_components
 from marquetry.runtime import cut, fresh_name, lookup_join, read_table
 
@@ -66,8 +67,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch):
                 values = [fingerprint(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
@@ -242,7 +242,7 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     @F.arrow_udf("long")
     def printed(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(t) for part in text_slices(texts) for t in part.to_pylist()], pa.int64())
 
     kept = lookup_join(
         docs.withColumn(mark, printed(docs[text_col])), rows.filter("not wins").select("doc_id", "fp").withColumnsRenamed(names),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquetry.llm.tokenizer import codec, default_path
+from marquetry.llm.tokenizer import codec, default_path, slices
 from marquetry.runtime import ensure_checkpoint_dir, lookup_join, read_table
 
 
@@ -37,15 +37,13 @@ def write_token_files(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [words.encode(t or "") + end for t in part.column(1).to_pylist()]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), tokens], ["doc_id", "n_tokens", "tokens"])
+            for part in slices(batch):
+                flat, counts = words.encode_many(part.column(1))
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                ids = np.insert(flat.view("<i4"), ends[1:], end_id)
+                tokens = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + 1), tokens], ["doc_id", "n_tokens", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     (
@@ -63,24 +61,25 @@ def write_token_files(
     )
 
 
-def document_starts(files: DataFrame) -> DataFrame:
-    """``(file, row, start)`` from the metadata columns alone.
+def document_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``(file, row, doc_id, n_tokens, start)`` from the metadata columns alone, or with
+    ``start`` added to ``rows(file, row, n_tokens, ...)`` of the same files.
 
-    Sums run inside each file; one row a file is then summed over the files.
+    Sums run inside each file (narrow rows, and a file is as long as one writing task made
+    it); one row a file is then summed over the files.
     """
-    rows = files.select(
+    meta = files.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "n_tokens"
     )
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    per_file = rows.groupBy("file").agg(
+    placed = (meta if rows is None else rows).withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    per_file = meta.groupBy("file").agg(
         F.sum("n_tokens").alias("total"), F.min("doc_id").alias("low"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")
     )
     order = Window.orderBy(F.desc("nulls"), F.asc_nulls_first("low"), "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("offset"))
-    return lookup_join(placed, offsets, ["file"], how="inner").select(
-        "file", "row", "doc_id", "n_tokens", (F.col("before") + F.col("offset")).alias("start")
-    )
+    started = lookup_join(placed, offsets, ["file"], how="inner").withColumn("start", F.col("before") + F.col("offset"))
+    return started.drop("before", "offset")
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
@@ -88,30 +87,28 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
 
 
 def token_checksums(files: DataFrame) -> DataFrame:
-    """``(file, row, n_read, ids_crc32)`` of the stored tokens."""
+    """``(file, row, doc_id, n_tokens, ids_crc32)`` of the stored tokens; these are counted
+    again, not taken from the column."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            lists = batch.column(3)
             flat = np.asarray(lists.values, dtype="<u4")
             at = np.asarray(lists.offsets)
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
-                ["file", "row", "n_read", "ids_crc32"],
+                [*(batch.column(i) for i in range(3)), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
+                ["file", "row", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "tokens").mapInArrow(
-        run, "file string, row long, n_read long, ids_crc32 long"
-    )
+    kind = files.schema["doc_id"].dataType.simpleString()
+    return files.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "tokens"
+    ).mapInArrow(run, f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(read_table(spark, sf_dir, "documents"), out, default_path())
     files = read_token_files(spark, out)
-    return (
-        document_starts(files).join(token_checksums(files), ["file", "row"])
-        .select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
-    )
+    return document_starts(files, token_checksums(files)).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -4,38 +4,25 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words whose handling below is the library's letter by letter: Latin, all in NFC.
-_PLAIN = re.compile("[!-~¡-ɏ]+").fullmatch
+from marquetry.llm.merges import PairTable, gather, merge_all
+
+#: Words whose handling below is the library's letter by letter: Latin, all in NFC, and
+#: each letter with one lower-case letter (so without the dotted capital I).
+_PLAIN = "^[!-~¡-įı-ɏ]*$"
 _SPLIT = (
     "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 )
 
 
-class _Memo(dict):
-    """word -> ids as bytes. Holds two generations of at most ``keep`` words each."""
-
-    def __init__(self, compute, keep: int):
-        super().__init__()
-        self.compute, self.keep, self.old = compute, keep, {}
-
-    def __missing__(self, word):
-        value = self.old.get(word)
-        if value is None:
-            value = self.compute(word)
-        if len(self) >= self.keep:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
-        return value
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable stand-ins that byte-level models use for the 256 bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,16 +31,57 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+#: Pieces of more bytes are merged by the library, so that few rounds settle all others.
+LONGEST = 48
+
+
+@dataclass
+class Runs:
+    """Runs of ids in one flat array."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, sizes: np.ndarray) -> Runs:
+        return cls(flat, np.cumsum(sizes) - sizes, sizes)
+
+    def take(self, at: np.ndarray) -> Runs:
+        """The runs of these numbers, laid one after the other."""
+        return Runs.of(gather(self.flat, self.starts[at], self.sizes[at]), self.sizes[at])
+
+    def joined(self, ends: np.ndarray) -> Runs:
+        """Of adjacent runs: those from each of ``ends`` to the next as one run."""
+        bounds = np.concatenate([[0], np.cumsum(self.sizes)])[ends]
+        return Runs(self.flat, bounds[:-1], np.diff(bounds))
+
+    def spread(self, at: np.ndarray, n: int) -> Runs:
+        """``n`` runs: these at the numbers of ``at``, empty ones elsewhere."""
+        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        starts[at], sizes[at] = self.starts, self.sizes
+        return Runs(self.flat, starts, sizes)
+
+    def put(self, at: np.ndarray, runs: list[np.ndarray]) -> Runs:
+        """With other runs at some numbers."""
+        if len(at):
+            self.sizes[at] = [len(x) for x in runs]
+            self.starts[at] = len(self.flat) + np.cumsum(self.sizes[at]) - self.sizes[at]
+            self.flat = np.concatenate([self.flat, *runs])
+        return self
+
+
 class WordCodec:
     """Encodes and decodes with one tokenizer file.
 
     When the file drops white space and never joins pieces across it (the layout of
-    ``word_bpe_49k.json``), a text's ids are those of its words in a row, so words are
-    encoded once and kept in a bounded memo; ``by_words`` says so. Any other file goes
-    through the library text by text.
+    ``word_bpe_49k.json``), a text's ids are those of its words in a row; ``by_words``
+    says so. Then the words of many texts are told apart first and the pieces of all of
+    them are merged at once; nothing is kept between calls. Any other file goes through
+    the library text by text.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
@@ -64,6 +92,7 @@ class WordCodec:
             spec = json.load(f)
         norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self._special = [x["content"] for x in spec["added_tokens"]]
         self.by_words = (
             norm == ["NFC", "Replace", "Lowercase"]
             and [x.get("type") for x in pre] == ["Split", "ByteLevel"]
@@ -71,32 +100,77 @@ class WordCodec:
             and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True)
             and (pre[1]["use_regex"], pre[1]["add_prefix_space"]) == (False, False)
             and not any(x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+            and not any(x.split() != [x] for x in self._special)
         )
-        self._special = [x["content"] for x in spec["added_tokens"]]
         self._pieces = regex.compile(_SPLIT).findall
         self._letters = _byte_letters()
         self._tokenize = self.library.model.tokenize
-        self._words = _Memo(self._word, keep)
-        self._parts = _Memo(self._part, keep)
+        if self.by_words:
+            self._load_merges(spec["model"])
         self.joined_by_space = spec.get("decoder") is None
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
+        self._names = pa.array(self.tokens, pa.large_string())
 
-    def _part(self, piece: str) -> bytes:
+    def _load_merges(self, model: dict) -> None:
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        left, right, joined = (
+            np.array(x, np.int64) for x in ([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs])
+        )
+        self.table = PairTable(left, right, joined)
+        letters = [self._letters[b] for b in range(256)]
+        # Symbols of the 256 bytes inside a piece and at its end; -1 where the file has none.
+        self._inner = np.array([vocab.get(x, -1) for x in letters], np.int32)
+        self._final = np.array([vocab.get(x + suffix, -1) for x in letters], np.int32)
+
+    def _part(self, piece: str) -> np.ndarray:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
-        return array("I", [x.id for x in self._tokenize(mapped)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if not _PLAIN(word) or "<" in word and any(s in word for s in self._special):
-            return self.by_library(word)
-        low = word.lower() if word.isascii() else "".join([c.lower() for c in word])
-        if low.isalpha():  # one run of letters is one piece
-            return self._parts[low]
-        if low[-1] in ".,!?" and low[:-1].isalpha():
-            return self._parts[low[:-1]] + self._parts[low[-1]]
-        return b"".join(map(self._parts.__getitem__, self._pieces(low)))
+        return np.array([x.id for x in self._tokenize(mapped)], np.int32)
+
+    def _pieces_ids(self, pieces: pa.Array) -> Runs:
+        """Ids of distinct pieces; the library merges those too long to be done at once."""
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = pieces.offset and pieces.buffers()[1] and int(np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset])
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[first : first + int(sizes.sum())]
+        symbols = self._inner[data]
+        last = np.cumsum(sizes) - 1
+        symbols[last] = self._final[data[last]]
+        odd = (sizes > LONGEST) | (np.minimum.reduceat(symbols, last - sizes + 1) < 0) if len(sizes) else np.zeros(0, bool)
+        keep = np.repeat(~odd, sizes)
+        flat, counts = merge_all(symbols[keep], sizes[~odd], self.table)
+        runs = Runs.of(flat, counts).spread(np.flatnonzero(~odd), len(odd))
+        at = np.flatnonzero(odd)
+        return runs.put(at, [self._part(x) for x in pieces.take(pa.array(at)).to_pylist()])
+
+    def _word_ids(self, words: pa.Array) -> Runs:
+        """Ids of distinct words."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for mark in self._special:
+            plain = pc.and_not(plain, pc.match_substring(words, mark))
+        lows = pc.utf8_lower(words)
+        one = pc.and_(plain, pc.match_substring_regex(lows, r"^\pL+$"))  # a run of letters is one piece
+        two = pc.and_(plain, pc.match_substring_regex(lows, r"^\pL+[.,!?]$"))
+        known = plain.to_numpy(zero_copy_only=False)
+        ones, twos = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (one, two))
+        rest = known.copy()
+        rest[ones] = rest[twos] = False
+        others = np.flatnonzero(rest)
+        found = [self._pieces(x) for x in lows.filter(pa.array(rest)).to_pylist()]
+        ended = lows.filter(two)
+        coded = pa.concat_arrays(
+            [lows.filter(one), pc.utf8_slice_codeunits(ended, 0, -1), pc.utf8_slice_codeunits(ended, -1),
+             pa.array([x for part in found for x in part], pa.string())]
+        ).dictionary_encode()
+        # Pieces in the order of words: those of one piece, those of two, the others.
+        at = coded.indices.to_numpy()
+        a, b = len(ones), len(ones) + len(twos)
+        at = np.concatenate([at[:a], np.stack([at[a:b], at[b : 2 * b - a]], 1).ravel(), at[2 * b - a :]])
+        counts = np.concatenate([np.full(a, 1), np.full(b - a, 2), np.array([len(x) for x in found], np.int64)])
+        ids = self._pieces_ids(coded.dictionary).take(at).joined(np.concatenate([[0], np.cumsum(counts)]))
+        runs = ids.spread(np.concatenate([ones, twos, others]), len(words))
+        at = np.flatnonzero(~known)
+        return runs.put(at, [np.frombuffer(self.by_library(x), np.int32) for x in words.take(pa.array(at)).to_pylist()])
 
     def by_library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -104,9 +178,18 @@ class WordCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
+        return self.encode_many([text])[0].tobytes()
+
+    def encode_many(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has; null texts count as empty."""
         if not self.by_words:
-            return self.by_library(text)
-        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
+            parts = [self.by_library(t or "") for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        found = self._word_ids(coded.dictionary).take(coded.indices.to_numpy()).joined(lists.offsets.to_numpy())
+        return found.flat.view("<u4"), found.sizes
 
     def decode(self, ids: bytes) -> str:
         """What the library's ``decode(ids, skip_special_tokens=False)`` returns."""
@@ -115,12 +198,42 @@ class WordCodec:
             return " ".join(map(self.tokens.__getitem__, values))
         return self.library.decode(values, skip_special_tokens=False)
 
+    def decode_many(self, flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The decoded texts of runs of ids."""
+        if not self.joined_by_space:
+            ends = np.cumsum(sizes)
+            parts = [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            return pa.array([self.decode(x) for x in parts], pa.large_string())
+        names = self._names.take(pa.array(flat.view(np.int32)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names), pa.scalar(" ", pa.large_string()))
+
+
+def _bounds(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = min(int(np.searchsorted(ends, before + most_bytes)) + 1, at + most_rows, len(texts))
+        yield at, end - at
+        at = end
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.Array]:
+    """Parts of some ``most_bytes`` of text, or one text."""
+    return (texts.slice(at, n) for at, n in _bounds(texts, most_bytes, most_rows))
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same of a batch, by the texts in ``column``."""
+    return (batch.slice(at, n) for at, n in _bounds(batch.column(column), most_bytes, most_rows))
+
 
 _CODECS: dict[str, WordCodec] = {}
 
 
 def codec(path: str) -> WordCodec:
-    """The worker's codec of a file; workers are reused, and so are its memos."""
+    """The worker's codec of a file; workers are reused, and so is its memo."""
     if path not in _CODECS:
         _CODECS[path] = WordCodec(path)
     return _CODECS[path]

@@ -10,7 +10,7 @@ sigmoid(theta_k - w . x)``: one weight vector for all ordered thresholds, fitted
 gradient steps on the driver, where only the sparse rows of the sample are. The result
 is the expected severity, ``sum_k P(grade >= k)``, and the most likely grade.
 
-Scoring is one pass without a shuffle; the sum of a word's weights is kept in a memo.
+Scoring is one pass without a shuffle; the distinct words of some texts are scored once.
 
 Edge cases: a null text counts as empty and scores as the model scores no features;
 without labels of both kinds severity is zero for all, and when no feature tells them
@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.llm.quality_bayes import labelled_sample
+from marquetry.llm.tokenizer import text_slices
 from marquetry.runtime import cut, fresh_name, read_table
 
 #: Bounds of the fitting sample and of the features selected from it; both documented.
@@ -107,45 +109,33 @@ def select_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
     return sorted(r.f for r in best if r.z > least)
 
 
-class _WordScores(dict):
-    """word -> sum of its features' weights; at most ``MOST_WORDS`` words at a time.
-
-    Every feature of four letters and more begins with one of ``heads``, so most words
-    are settled by one look at their first letters.
-    """
-
-    MOST_WORDS = 300_000
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-        self.heads = {f.partition(":")[2][:4] for f in weights}
-
-    def __missing__(self, word: str) -> float:
-        bare = word.strip(_EDGES).lower()
-        value = sum(self.weights.get(f, 0.0) for f in word_features(bare)) if bare[:4] in self.heads else 0.0
-        if len(self) >= self.MOST_WORDS:
-            self.clear()
-        self[word] = value
-        return value
-
-
 class OrdinalModel:
     """Weights by feature and ordered thresholds."""
 
     def __init__(self, names: list[str], weights: np.ndarray, thresholds: np.ndarray):
         self.weights = dict(zip(names, weights.tolist(), strict=True))
         self.thresholds = thresholds.tolist()
-        self._words: _WordScores | None = None
+        # Every feature of four letters and more begins with one of these, so most words are
+        # settled by one look at their first letters.
+        self._heads = {f.partition(":")[2][:4] for f in self.weights}
 
-    def __getstate__(self):
-        return {**self.__dict__, "_words": None}
+    def _word(self, word: str) -> float:
+        bare = word.strip(_EDGES).lower()
+        return sum(self.weights.get(f, 0.0) for f in word_features(bare)) if bare[:4] in self._heads else 0.0
 
     def score(self, text: str | None) -> float:
-        if self._words is None:
-            self._words = _WordScores(self.weights)
-        words = (text or "").split()
-        return 1000 * sum(map(self._words.__getitem__, words)) / (len(words) + SMOOTH)
+        return float(self.scores(pa.array([text], pa.string()))[0])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Of many texts; their words are told apart first, and each is scored once."""
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+        coded = lists.values.dictionary_encode()
+        each = np.fromiter(map(self._word, coded.dictionary.to_pylist()), float, len(coded.dictionary))
+        ends = np.asarray(lists.offsets)
+        # Not one running sum over all texts: a text's score must not hang on those before it.
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        sums = np.bincount(text, each[coded.indices.to_numpy()], len(texts))
+        return 1000 * sums / (np.diff(ends) + SMOOTH)
 
     def severity(self, score: float) -> tuple[float, int, float]:
         """(expected severity, most likely grade, P(grade >= 1))."""
@@ -196,7 +186,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     @F.arrow_udf("string")
     def sparse(texts: pa.Array) -> pa.Array:
-        rows = [{index[f]: d for f, d in densities(t).items() if f in index} for t in texts.to_pylist()]
+        rows = [
+            {index[f]: d for f, d in densities(t).items() if f in index} for part in text_slices(texts) for t in part.to_pylist()
+        ]
         return pa.array([" ".join(f"{k}:{v:.9g}" for k, v in sorted(r.items())) for r in rows], pa.string())
 
     got = sorted((r.x, r.y) for r in sample.select(sparse("text").alias("x"), "y").limit(2 * most).collect())
@@ -214,7 +206,7 @@ def severity(text: Column, model: OrdinalModel) -> Column:
 
     @F.arrow_udf("struct<expected:double,grade:int,p_toxic:double>")
     def rate(texts: pa.Array) -> pa.Array:
-        rows = [model.severity(model.score(t)) for t in texts.to_pylist()]
+        rows = [model.severity(x) for part in text_slices(texts) for x in model.scores(part).tolist()]
         kinds = (pa.float64(), pa.int32(), pa.float64())
         parts = [pa.array([round(r[i], 6) for r in rows], kind) for i, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(parts, ["expected", "grade", "p_toxic"])
