@@ -450,3 +450,22 @@ def functions_of(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = nodes.filter("kind in ('function', 'method')").select("id", "file", "name", "language", "line_start", "line_end")
     text = F.array_join(F.slice("all_lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
     return rows.join(lines, "file").select("id", "file", "name", "language", "line_start", "line_end", text.alias("source"))
+
+
+def cfg_block_spans(blocks: DataFrame, statements: DataFrame, functions: DataFrame, *, least: int = 4) -> DataFrame:
+    """``(func, block, line_start, line_end)``: the lines of control-flow blocks of at least
+    ``least`` lines; a function without such facts gives its own span as block -1.
+    ``statements(func, block, line)``; ``functions(func, line_start, line_end)``."""
+    spans = statements.groupBy("func", "block").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end"))
+    long = spans.join(blocks.select("func", "block").distinct(), ["func", "block"]).filter(F.col("line_end") - F.col("line_start") + 1 >= least)
+    bare = functions.join(statements.select("func").distinct(), "func", "left_anti").filter(F.col("line_end") - F.col("line_start") + 1 >= least)
+    return long.select("func", "block", "line_start", "line_end").unionByName(bare.select("func", F.lit(-1).alias("block"), "line_start", "line_end"))
+
+
+def is_implementation(functions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``functions`` plus ``is_impl``: inside a block that implements a trait, overriding, or
+    a special method (what the trait filter of clone groups needs)."""
+    from marquetry.operators.entries import implementations
+
+    alive = implementations(functions, blocks).withColumn("is_impl", F.lit(True))
+    return functions.join(alive, "id", "left").withColumn("is_impl", F.coalesce("is_impl", F.lit(False)))

@@ -104,7 +104,7 @@ def dominators(blocks: DataFrame, edges: DataFrame, *, post: bool = False) -> Da
             for x in exits:
                 pred.setdefault(x, []).append(-1)
         found = _dominators(list(b.block), entry, succ, pred) if entry is not None else {}
-        return pd.DataFrame({"func": [key[0]] * len(found), "block": list(found), "idom": list(found.values())})
+        return pd.DataFrame([(key[0], *r) for r in found.items()], columns=["func", "block", "idom"])
 
     return blocks.groupBy("func").cogroup(edges.groupBy("func")).applyInPandas(run, "func string, block int, idom int")
 
@@ -125,8 +125,7 @@ def control_dependence(blocks: DataFrame, edges: DataFrame) -> DataFrame:
             while at != up.get(a) and at != -1 and at is not None and steps <= len(up) + 1:
                 out.add((a, at))
                 at, steps = up.get(at), steps + 1
-        rows = sorted(out)
-        return pd.DataFrame({"func": [key[0]] * len(rows), "src": [r[0] for r in rows], "dst": [r[1] for r in rows]})
+        return pd.DataFrame([(key[0], *r) for r in sorted(out)], columns=["func", "src", "dst"])
 
     return edges.groupBy("func").cogroup(ipdom.groupBy("func")).applyInPandas(run, "func string, src int, dst int")
 
@@ -162,8 +161,11 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame, defs: DataFrame) -
 
 
 def liveness(blocks: DataFrame, edges: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
-    """``(func, block, var)``: variables live at a block's start."""
-    facts = defs.select("func", "block", "var", F.lit(1).alias("d")).union(uses.select("func", "block", "var", F.lit(0))).distinct()
+    """``(func, block, var)``: variables live at a block's start. A use after a definition
+    of the same block does not count."""
+    first = defs.groupBy("func", "block", "var").agg(F.min("stmt").alias("at"))
+    exposed = uses.join(first, ["func", "block", "var"], "left").filter("at is null or stmt <= at").select("func", "block", "var", F.lit(0).alias("d"))
+    facts = first.select("func", "block", "var", F.lit(1).alias("d")).union(exposed).distinct()
 
     def run(key, e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         succ, pred = _successors(e)
@@ -240,16 +242,24 @@ def constant_propagation(edges: DataFrame, assigns: DataFrame) -> DataFrame:
             code.setdefault(b, []).append((v, x))
         names = sorted({*e.src, *e.dst, *a.block})
         out = {b: None for b in names}
-        work, rounds = list(reversed(names)), 0
-        while work and rounds < 10_000:
-            rounds += 1
+        # Each variable of a block only falls from unknown to constant to bottom, so this ends.
+        low = {b: {} for b in names}
+        work = list(reversed(names))
+        while work:
             b = work.pop()
+            if pred.get(b) and all(out[p] is None for p in pred[b]):
+                continue  # comes back when one of them is known
             env = {}
             for p in pred.get(b, ()):
                 for v, x in (out[p] or {}).items():
                     env[v] = x if v not in env or env[v] == x else ("bottom", None)
             for v, x in code.get(b, ()):
                 env[v] = evaluate(x, env)
+            for v, x in env.items():  # a value that changed once stays bottom
+                had = low[b].get(v)
+                if had is not None and had != x:
+                    env[v] = ("bottom", None)
+                low[b][v] = env[v]
             if env != out[b]:
                 out[b] = env
                 work += succ.get(b, [])
@@ -287,28 +297,115 @@ def dead_branches(blocks: DataFrame, env: DataFrame, conditions: DataFrame) -> D
 def system_dependence(pdg: DataFrame, calls: DataFrame) -> DataFrame:
     """Dependence over functions: ``(src, dst, kind)`` on ``func:block`` names.
 
-    ``calls(caller, block, callee, entry, exit)`` add call, param-in and param-out edges;
-    a summary edge joins a call to itself where the callee's exit depends on its entry.
+    ``calls(caller, block, callee, entry, exit)``. A call site is two nodes: ``func:block``,
+    where arguments are given, and ``func:block:ret``, where the result comes back and which
+    what depends on the call hangs on. They are joined by call, param-in and param-out
+    edges, and by a summary edge where the callee's exit depends on its entry.
     """
     name = lambda f, b: F.concat_ws(":", f, b.cast("string"))
+    sites = calls.select(name(F.col("caller"), F.col("block")).alias("site")).distinct()
     inside = pdg.select(name(F.col("func"), F.col("src")).alias("src"), name(F.col("func"), F.col("dst")).alias("dst"), "kind")
+    after = inside.join(sites, inside.src == sites.site, "left").select(
+        F.when(F.col("site").isNotNull() & (F.col("kind") == "data"), F.concat("src", F.lit(":ret"))).otherwise(F.col("src")).alias("src"), "dst", "kind"
+    )
     site = name(F.col("caller"), F.col("block"))
     into, out = name(F.col("callee"), F.col("entry")), name(F.col("callee"), F.col("exit"))
+    back = F.concat(site, F.lit(":ret"))
     call = calls.select(site.alias("src"), into.alias("dst"), F.lit("call").alias("kind"))
     give = calls.select(site.alias("src"), into.alias("dst"), F.lit("param_in").alias("kind"))
-    take = calls.select(out.alias("src"), site.alias("dst"), F.lit("param_out").alias("kind"))
-    return inside.unionByName(call).unionByName(give).unionByName(take).distinct()
+    take = calls.select(out.alias("src"), back.alias("dst"), F.lit("param_out").alias("kind"))
+    through = _exits_on_entries(pdg, calls)
+    short = calls.join(through, ["callee", "entry", "exit"]).select(site.alias("src"), back.alias("dst"), F.lit("summary").alias("kind"))
+    return after.unionByName(call).unionByName(give).unionByName(take).unionByName(short).distinct()
+
+
+def _exits_on_entries(pdg: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(callee, entry, exit)`` of callees whose exit depends on their entry. Each entry is
+    a seed of its own kind, so all callees are walked in one pass."""
+    ends = cut(calls.select("callee", "entry", "exit").distinct())
+    a, b = block_id(F.col("func"), F.col("src")), block_id(F.col("func"), F.col("dst"))
+    seeds = ends.select(block_id(F.col("callee"), F.col("entry")).alias("id"), F.col("callee").alias("kind"))
+    found = reach(pdg.select(a.alias("src"), b.alias("dst")), seeds).select("id", F.col("kind").alias("callee"))
+    return ends.withColumn("id", block_id(F.col("callee"), F.col("exit"))).join(found, ["id", "callee"], "left_semi").select("callee", "entry", "exit")
 
 
-def sdg_slice(sdg: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Two-phase backward slice of ``criteria(node)``: first up without entering callees,
-    then down without leaving them."""
+def sdg_slice(sdg: DataFrame, criteria: DataFrame, *, backward: bool = True) -> DataFrame:
+    """Two-phase slice of ``criteria(node)``. Backward: first to callers without entering
+    callees, then into callees without leaving them; forward: the other way round."""
+    first, second = (("param_out",), ("call", "param_in")) if backward else (("call", "param_in"), ("param_out",))
 
-    def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
-        ids = edges.select(F.xxhash64("dst").alias("src"), F.xxhash64("src").alias("dst"))
+    def walk(without: tuple[str, ...], start: DataFrame) -> DataFrame:
+        edges = sdg.filter(~F.col("kind").isin(*without))
+        a, b = F.xxhash64("src"), F.xxhash64("dst")
+        ids = edges.select((b if backward else a).alias("src"), (a if backward else b).alias("dst"))
         return reach(ids, start.select(F.xxhash64("node").alias("id"))).select("id").distinct()
 
     names = sdg.select(F.col("src").alias("node")).union(sdg.select("dst")).union(criteria.select("node")).distinct().withColumn("id", F.xxhash64("node"))
-    up = cut(names.join(walk(sdg.filter("kind <> 'param_out'"), criteria), "id", "left_semi").select("node"))
-    down = walk(sdg.filter("kind not in ('call', 'param_in')"), up)
-    return names.join(down, "id", "left_semi").select("node").union(up).distinct()
+    one = cut(names.join(walk(first, criteria), "id", "left_semi").select("node"))
+    two = walk(second, one)
+    return names.join(two, "id", "left_semi").select("node").union(one).distinct()
+
+
+def sdg_dead(nodes: DataFrame, reached: DataFrame, sdg: DataFrame, live: DataFrame) -> DataFrame:
+    """Functions that calls reach but whose blocks no slice of ``live(node)`` needs.
+
+    ``nodes(id, func)``. Functions without a block in the dependence graph stay: nothing is
+    known of them.
+    """
+    func = F.regexp_extract("node", r"^(.*?):[0-9]+(?::ret)?$", 1)
+    covered = sdg.select(F.col("src").alias("node")).union(sdg.select("dst")).select(func.alias("func")).distinct()
+    needed = sdg_slice(sdg, live).select(func.alias("func")).distinct()
+    dead = covered.join(needed, "func", "left_anti")
+    return nodes.join(reached.select("id").distinct(), "id", "left_semi").join(dead, "func", "left_semi").select("id", "func")
+
+
+def dead_call_branches(parameters: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``(func, block, branch)`` never taken as every call gives a parameter one value.
+
+    ``parameters(func, param, tag, val)`` of ``interprocedural_constants``;
+    ``conditions(func, block, var)``.
+    """
+    false = F.col("val").isin("0", "False", "''", "None", "0.0")
+    known = conditions.join(parameters.filter("tag = 'const'").withColumnRenamed("param", "var"), ["func", "var"])
+    return known.select("func", "block", F.when(false, "true").otherwise("false").alias("branch"))
+
+
+def skeleton_cfg(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and edges of an entry that leads to an exit, for functions whose body is not
+    read; of functions with one name the first by place stands for all."""
+    first = functions.groupBy("name").agg(F.min(F.struct("file", "line_start")).alias("x")).select(F.col("name").alias("func"))
+    rows = F.array(
+        F.struct(F.lit(0).alias("block"), F.lit("entry").alias("label"), F.lit(True).alias("is_entry"), F.lit(False).alias("is_exit")),
+        F.struct(F.lit(1).alias("block"), F.lit("exit").alias("label"), F.lit(False).alias("is_entry"), F.lit(True).alias("is_exit")),
+    )
+    blocks = first.select("func", F.explode(rows).alias("b")).select("func", "b.*")
+    return blocks, first.select("func", F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit("next").alias("kind"))
+
+
+def textual_flow(functions: DataFrame) -> DataFrame:
+    """``(file, name, variable, line_no, kind)``: where a function's lines write and read
+    its variables, from line patterns alone. ``functions(file, name, line_start, source)``."""
+    rows = functions.select("file", "name", "line_start", F.posexplode(F.split("source", "\n")).alias("p", "line"))
+    code = F.regexp_replace(F.regexp_replace("line", r"\"[^\"]*\"|'[^']*'", "''"), r"(?:#|//).*$", "")
+    target = F.regexp_extract(code, r"^\s*(?:(?:let|const|var|mut|int|auto)\s+)*([A-Za-z_]\w*)\s*(?::[^=]+)?(?:[-+*/|&]|:)?=(?!=)", 1)
+    placed = rows.select("file", "name", (F.col("line_start") + F.col("p")).alias("line_no"), code.alias("code"), target.alias("target")).filter("code <> ''")
+    defs = placed.filter("target <> ''").select("file", "name", F.col("target").alias("variable"), "line_no", F.lit("def").alias("kind"))
+    right = F.when((F.col("target") != "") & ~F.col("code").rlike(r"[-+*/|&]=(?!=)"), F.regexp_replace("code", r"^[^=]*=", "")).otherwise(F.col("code"))
+    words = placed.select("file", "name", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(right, F.lit(r"(?<![\w.])([A-Za-z_]\w*)"), F.lit(1)))).alias("variable"))
+    uses = words.join(defs.select("file", "name", "variable").distinct(), ["file", "name", "variable"], "left_semi")
+    return defs.unionByName(uses.select("file", "name", "variable", "line_no", F.lit("use").alias("kind"))).distinct()
+
+
+def dead_store_facts(facts: DataFrame) -> DataFrame:
+    """``(func, var, fact)`` for ``filter_dead_stores`` from extracted facts: names that a
+    function inside reads (captured), that loops write as their control, and that no
+    definition of the function declares."""
+    func = F.concat_ws(":", "file", "owner")
+    defs = facts.filter("tag = 'def'").select(func.alias("func"), "file", "owner", F.col("name").alias("var"), F.col("line").alias("block")).distinct()
+    uses = facts.filter("tag = 'use'").select("file", F.col("owner").alias("user"), F.col("name").alias("var")).distinct()
+    captured = defs.join(uses, ["file", "var"]).filter(F.col("user").startswith(F.concat("owner", F.lit(".")))).select("func", "var", F.lit("captured").alias("fact"))
+    loops = facts.filter("tag = 'cfg_block' and detail = 'loop'").select(func.alias("func"), F.col("line").alias("block"))
+    control = defs.join(loops, ["func", "block"]).select("func", "var", F.lit("loop_control").alias("fact"))
+    used = facts.filter("tag = 'use'").select(func.alias("func"), F.col("name").alias("var"))
+    foreign = used.join(defs.select("func", "var"), ["func", "var"], "left_anti").select("func", "var", F.lit("not_local").alias("fact"))
+    return captured.unionByName(control).unionByName(foreign).distinct()

@@ -463,3 +463,38 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "nodes", "edges", "files", "loc", "avg_loc", (F.col("edges") / F.col("nodes")).alias("avg_degree"),
         (F.col("edges") / (F.col("nodes") * F.col("nodes"))).alias("density"),
     )
+
+
+def attribute_hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(child, parent)`` from ``extends:`` and ``implements:`` attributes, and ``(class,
+    name, id)`` of methods, whose class is that of ``parent_id`` or what stands before the
+    last ``.`` or ``::`` of their full name."""
+    marks = nodes.select(F.col("name").alias("child"), F.explode("attributes").alias("mark"))
+    links = marks.select("child", F.trim(F.regexp_extract("mark", r"^(?:extends|implements):(.+)$", 1)).alias("parent")).filter("parent <> ''").distinct()
+    classes = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("holder"))
+    before = F.regexp_extract(F.regexp_extract("full_name", r"^(.*?)(?:\.|::)[^.:]+$", 1), r"([^.:]+)$", 1)
+    methods = nodes.filter(F.col("kind").isin("method", "async_method", "static_method", "constructor")).join(classes, "parent_id", "left")
+    owned = methods.select(F.coalesce("holder", F.nullif(before, F.lit(""))).alias("class"), "name", "id").filter("class is not null")
+    return links, owned
+
+
+def call_neighbourhood(nodes: DataFrame, edges: DataFrame, start: int, *, depth: int = 2, entries: DataFrame | None = None, **options) -> DataFrame:
+    """``(id, direction, depth, reachable)`` of callers and callees up to ``depth``;
+    ``reachable`` tells whether an entry leads there (null without entries)."""
+    spark = nodes.sparkSession
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    parts = [
+        reach(e, spark.range(start, start + 1), max_depth=depth, **options).filter("depth > 0").select("id", F.lit(d).alias("direction"), "depth")
+        for e, d in ((edges, "callee"), (back, "caller"))
+    ]
+    around = parts[0].unionByName(parts[1])
+    if entries is None:
+        return around.withColumn("reachable", F.lit(None).cast("boolean"))
+    alive = reach(edges, entries.select("id"), **options).select("id", F.lit(True).alias("alive")).distinct()
+    return around.join(alive, "id", "left").select("id", "direction", "depth", F.coalesce("alive", F.lit(False)).alias("reachable"))
+
+
+def trace_both(edges: DataFrame, one: int, two: int, **options) -> DataFrame:
+    """Paths from one to two and from two to one: ``(direction, path, depth)``."""
+    there, back = trace_paths(edges, one, two, **options), trace_paths(edges, two, one, **options)
+    return there.select(F.lit("forward").alias("direction"), "path", "depth").union(back.select(F.lit("backward"), "path", "depth"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquetry.functions.text import lang_group
 
-LEVELS = {0: "certain", 1: "certain", 2: "high", 3: "high", 4: "possible", 5: "possible"}
+LEVELS = {0: "certain", 1: "certain", 2: "high", 3: "high", 4: "possible", 5: "possible", 6: "possible"}
 
 
 def folder(path: Column) -> Column:
@@ -19,29 +19,88 @@ def module_files(files: DataFrame) -> DataFrame:
     of its path without extension, dotted; package markers stand for their folder."""
     bare = F.regexp_replace(F.regexp_replace("file", r"\.[^./]+$", ""), r"/(__init__|index|mod)$", "")
     parts = F.split(bare, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1_000), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return files.select(F.col("file").alias("module_file"), F.explode(suffixes).alias("module")).distinct()
 
 
-def normalise_module(module: Column) -> Column:
-    """Dots for separators; relative marks and extensions off."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(module, r"^[./]+", ""), r"\.(js|jsx|ts|tsx|h|hpp|rb)$", ""), r"/|::", ".")
+#: Marks that a language puts before or after a module's path, taken off before it is dotted.
+_SCRIPT = r"\.(?:[cm]?[jt]sx?|vue|svelte)$|^(?:@/|~/|src/)"
+MODULE_MARKS = {
+    "javascript": _SCRIPT, "typescript": _SCRIPT, "rust": r"^(?:crate|self|super)::(?:super::)*", "go": r"^(?:[\w-]+\.)+[a-z]+/[^/]+/[^/]+/",
+    "java": r"\.\*$", "kotlin": r"\.\*$", "scala": r"\._$", "c": r"\.h(?:h|pp|xx)?$", "cpp": r"\.h(?:h|pp|xx)?$", "ruby": r"\.rb$", "php": r"\.php$|^\\+",
+}
+
+
+def parent_folder(path: Column, levels: Column) -> Column:
+    """A path's folder, so many levels up."""
+    parts = F.split(folder(path), "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - levels, F.lit(0))), "/")
+
+
+def normalise_module(module: Column, language: Column | None = None, file: Column | None = None) -> Column:
+    """Dots for separators; relative marks, extensions and the marks of the language off.
+
+    With ``file``, a path that begins with ``.`` is placed in the importing file's folder:
+    ``./x`` beside it, each ``../`` (or further dot of Python) one folder up.
+    """
+    if language is None:
+        pattern = F.lit("|".join(dict.fromkeys(MODULE_MARKS.values())))
+    else:
+        pattern = F.coalesce(*[F.when(language == k, F.lit(p)) for k, p in MODULE_MARKS.items()], F.lit("$^"))
+    bare = F.regexp_replace(module, pattern, F.lit(""))
+    relative = module.rlike(r"^\.")
+    tail = F.regexp_replace(bare, r"^[./]+", "")
+    if file is not None:
+        ups = F.when(module.rlike(r"^\.+/"), F.regexp_count(module, F.lit(r"\.\./"))).otherwise(F.length(F.regexp_extract(module, r"^(\.*)", 1)) - 1)
+        tail = F.when(relative, F.concat_ws("/", F.nullif(parent_folder(file, F.greatest(ups, F.lit(0))), F.lit("")), F.nullif(tail, F.lit("")))).otherwise(tail)
+    return F.regexp_replace(F.regexp_replace(tail, r"/|::|\\\\", "."), r"\.(?:__init__|index|mod)$", "")
 
 
 def import_targets(facts: DataFrame) -> DataFrame:
     """``(file, local, imported, module_file)`` of imports that lead to known files."""
     rows = facts.filter("tag = 'import'").select(
-        "file", F.coalesce("detail", "name").alias("local"), F.col("name").alias("imported"), normalise_module(F.get("items", F.lit(0))).alias("module")
+        "file", F.coalesce("detail", "name").alias("local"), F.col("name").alias("imported"),
+        normalise_module(F.get("items", F.lit(0)), F.col("language"), F.col("file")).alias("module"),
     )
     either = rows.withColumn("module", F.explode(F.array_distinct(F.array("module", F.concat_ws(".", "module", "imported")))))
     known = module_files(facts.select("file").distinct())
-    return either.join(known, "module").filter("file <> module_file").select("file", "local", "imported", "module_file").distinct()
+    direct = either.join(known, "module").filter("file <> module_file").select("file", "local", "imported", "module_file").distinct()
+    return chase_barrels(direct, facts)
+
+
+def reexports(facts: DataFrame) -> DataFrame:
+    """``(barrel, name, source)``: names that a file hands on from another, or ``*``."""
+    known = module_files(facts.select("file").distinct())
+    rows = facts.filter("tag = 'reexport'").select(
+        F.col("file").alias("barrel"), "name", F.coalesce("detail", "name").alias("shown"),
+        normalise_module(F.get("items", F.lit(0)), F.col("language"), F.col("file")).alias("module"),
+    )
+    return rows.join(known, "module").filter("barrel <> module_file").select("barrel", "name", "shown", F.col("module_file").alias("source")).distinct()
+
+
+def chase_barrels(targets: DataFrame, facts: DataFrame) -> DataFrame:
+    """Imports of a name that the imported file only hands on lead to where it comes from:
+    one hop, a name of its own before ``*``; the barrel itself stays a target."""
+    hand = reexports(facts)
+    joined = targets.join(hand, targets.module_file == hand.barrel)
+    kind = F.when(F.col("shown") == F.col("imported"), 0).when(F.col("shown") == "*", 1)
+    held = joined.withColumn("kind", kind).filter("kind is not null")
+    best = held.groupBy("file", "local", "imported", "module_file").agg(F.min("kind").alias("best"))
+    kept = held.join(best, ["file", "local", "imported", "module_file"]).filter("kind = best")
+    original = F.when(F.col("kind") == 0, F.col("name")).otherwise(F.col("imported"))
+    return targets.union(kept.select("file", "local", original.alias("imported"), F.col("source").alias("module_file"))).distinct()
+
+
+def import_links(exports: DataFrame, imports: DataFrame) -> DataFrame:
+    """``(name, importer, exporter)``: each import of a name and the first file that exports it."""
+    first = exports.groupBy("name").agg(F.min("file").alias("exporter"))
+    return imports.select("name", F.col("file").alias("importer")).distinct().join(first, "name")
 
 
 def resolve_calls(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(src, dst, confidence)`` edges. Candidates of a call share its last name and its
     language group and are ranked: same file and scope, same file, imported by name, same
-    folder, unique by name, all. The best rank present wins; ties at the last are ``possible``.
+    folder, folders of one parent, all. The best rank present wins; ties at the last are ``possible``.
 
     Calls belong to the innermost function around them (the scope their fact names).
     Distinct calls are resolved once, and a name with many definitions is met by its
@@ -65,7 +124,8 @@ def resolve_calls(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     rank = (
         F.when((F.col("file") == F.col("to")) & (F.col("scope") == own) & F.col("receiver").isin("self", "this", ""), 0)
         .when(F.col("file") == F.col("to"), 1).when(linked, 2)
-        .when(folder(F.col("file")) == folder(F.col("to")), 4).otherwise(5)
+        .when(folder(F.col("file")) == folder(F.col("to")), 4)
+        .when(folder(folder(F.col("file"))) == folder(folder(F.col("to"))), 5).otherwise(6)
     )
     ranked = pairs.groupBy("src", "callee", "receiver", "dst").agg(F.min(rank).alias("rank"))
     best = ranked.groupBy("src", "callee", "receiver").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
@@ -127,3 +187,36 @@ def virtual_facts(facts: DataFrame) -> dict[str, DataFrame]:
         "file", "owner", F.regexp_extract("callee", r"^(.*)\.\w+$", 1).alias("receiver"), F.regexp_extract("callee", r"(\w+)$", 1).alias("method")
     ).distinct()
     return {"instantiates": made, "virtual_calls": virtual}
+
+
+def resolve_one(targets: DataFrame, instantiated: DataFrame, receivers: DataFrame | None = None) -> DataFrame:
+    """Hierarchy targets ``(call_id, owner, target)`` cut to what types allow: owners that
+    are instantiated, and with ``receivers(call_id, class)`` those a receiver may have.
+    A call whose receiver has no known class keeps all instantiated owners."""
+    live = targets.join(instantiated.select(F.col("class").alias("owner")).distinct(), "owner", "left_semi")
+    if receivers is None:
+        return live.select("call_id", "owner", "target")
+    known = receivers.select("call_id", F.col("class").alias("owner"), F.lit(True).alias("fits")).distinct()
+    asked = receivers.select("call_id", F.lit(True).alias("asked")).distinct()
+    rated = live.join(known, ["call_id", "owner"], "left").join(asked, "call_id", "left")
+    return rated.filter("fits or asked is null").select("call_id", "owner", "target")
+
+
+def call_priority(calls: DataFrame) -> DataFrame:
+    """``priority`` of unresolved calls: 200 where the caller is reached, 100 with a source
+    module, 10 without an alias; for the order of a worklist only."""
+    score = (
+        F.when(F.col("reachable"), 200).otherwise(0) + F.when(F.col("source_module").isNotNull(), 100).otherwise(0)
+        + F.when(F.col("imported_as").isNull(), 10).otherwise(0)
+    )
+    return calls.withColumn("priority", score).orderBy(F.desc("priority"), "caller_id", "callee_name")
+
+
+def node_lookup(nodes: DataFrame, *, name: str | None = None, file: str | None = None, language: str | None = None) -> DataFrame:
+    """Nodes by name or full name, by an ending of their file's path, by language."""
+    out = nodes
+    if name is not None:
+        out = out.filter((F.col("name") == name) | (F.col("full_name") == name))
+    if file is not None:
+        out = out.filter((F.col("file") == file) | F.col("file").endswith("/" + file))
+    return out if language is None else out.filter(F.col("language") == language)

@@ -30,30 +30,59 @@ def stop_grams(grams: DataFrame, *, share: float = 0.5) -> DataFrame:
     return df.filter(F.col("df") > int(n * share))
 
 
-def overlap_pairs(grams: DataFrame, *, threshold: float = 0.8, stop: DataFrame | None = None) -> DataFrame:
-    """Pairs ``(a, b, shared, jaccard)`` at or above ``threshold``, exactly.
+def overlap_classes(grams: DataFrame, *, threshold: float = 0.8, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, shared, jaccard)`` of class representatives at or above ``threshold``,
+    exactly, and ``(rep, doc_id)`` members: documents with the same grams are one class,
+    so copies, however many, make no pairs.
 
     A prefix-filter join: grams are ordered from rare to frequent and only the first
-    ``n - ceil(t n) + 1`` of a document can start a match, so frequent grams, which
+    ``n - ceil(t n) + 1`` of a class can start a match, so frequent grams, which
     would make the pairs, are hardly ever joined. Candidates are then verified.
     """
     base = grams if stop is None else grams.join(stop.select("gram"), "gram", "left_anti")
-    df = base.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    sets = base.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.xxhash64("gram"))).alias("codes"))
+    # Two hashes of 64 bits name a set of grams.
+    keyed = cut(sets.select("doc_id", "codes", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(11), "codes").alias("h2")))
+    groups = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("codes").alias("codes"))
+    members = keyed.join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "doc_id")
+    coded = groups.select("rep", F.explode("codes").alias("code"))
+    df = coded.groupBy("code").agg(F.count(F.lit(1)).alias("df"))
     ranked = cut(
-        base.join(df, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        .select("doc_id", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("codes"), F.size("g").alias("n"))
+        coded.join(df, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("g"))
+        .select("rep", F.transform("g", lambda x: x["code"]).alias("codes"), F.size("g").alias("n"))
     )
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    heads = ranked.select("doc_id", "n", F.explode(F.slice("codes", F.lit(1), prefix)).alias("code"))
+    heads = ranked.select("rep", "n", F.explode(F.slice("codes", F.lit(1), prefix)).alias("code"))
     a, b = heads.alias("a"), heads.alias("b")
     near = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near).select(
-        F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")
+    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.rep") < F.col("b.rep")) & near).select(
+        F.col("a.rep").alias("a"), F.col("b.rep").alias("b")
     ).distinct()
-    left, right = ranked.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), ranked.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
+    left, right = ranked.select(F.col("rep").alias("a"), F.col("codes").alias("x")), ranked.select(F.col("rep").alias("b"), F.col("codes").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("union"))
-    return full.select("a", "b", "shared", (F.col("shared") / F.col("union")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("union"), F.size("x").alias("n"))
+    found = full.select("a", "b", "shared", (F.col("shared") / F.col("union")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return found, members.join(ranked.select("rep", "n"), "rep")
+
+
+def overlap_pairs(grams: DataFrame, *, threshold: float = 0.8, stop: DataFrame | None = None) -> DataFrame:
+    """All pairs ``(a, b, shared, jaccard)`` of documents, copies expanded, as the result
+    says; ``overlap_classes`` has the same links without them."""
+    found, members = overlap_classes(grams, threshold=threshold, stop=stop)
+    found, members = cut(found), cut(members)
+    x, y = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
+    across = found.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "jaccard")
+    twin = members.select("rep", F.col("doc_id").alias("z"))
+    within = members.join(twin, "rep").filter("doc_id < z").select(F.col("doc_id").alias("a"), F.col("z").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
+
+
+def overlap_clusters(grams: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """``(id, cluster)`` of documents that links or copies join; copies are never paired."""
+    found, members = overlap_classes(grams, threshold=threshold)
+    members = cut(members)
+    copies = members.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return clusters(found.select("a", "b").union(copies))
 
 
 def contamination(grams: DataFrame, items: DataFrame) -> DataFrame:
@@ -235,3 +264,29 @@ def sketch_summary(rows: DataFrame, *, key: str, value: str, by: str | None = No
 def heavy_hitters(rows: DataFrame, key: str, k: int = 100) -> DataFrame:
     """The exact top k with ties broken by key; partial counts first, then a bounded heap."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(k)
+
+
+def similarity_order(pairs: DataFrame) -> DataFrame:
+    """Pairs from most to least alike, equal ones by their ids."""
+    return pairs.orderBy(F.desc("similarity"), "a", "b")
+
+
+def distinct_sketches(grams: DataFrame, *, by: str = "doc_id", lg_k: int = 12) -> DataFrame:
+    """``(by, theta, distinct)``: a mergeable theta sketch of each group's grams."""
+    built = grams.groupBy(by).agg(F.expr(f"theta_sketch_agg(gram, {lg_k})").alias("theta"))
+    return built.withColumn("distinct", F.expr("theta_sketch_estimate(theta)"))
+
+
+def sketch_algebra(pairs: DataFrame, sketches: DataFrame, *, by: str = "doc_id") -> DataFrame:
+    """Estimates ``(a, b, both, either, jaccard)`` for pairs of sketched groups, from the
+    sketches alone."""
+    left, right = sketches.select(F.col(by).alias("a"), F.col("theta").alias("s")), sketches.select(F.col(by).alias("b"), F.col("theta").alias("t"))
+    sized = pairs.select("a", "b").join(left, "a").join(right, "b").select(
+        "a", "b", F.expr("theta_sketch_estimate(theta_intersection(s, t))").alias("both"), F.expr("theta_sketch_estimate(theta_union(s, t))").alias("either")
+    )
+    return sized.withColumn("jaccard", F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(F.lit(0.0)))
+
+
+def frequency_sketch(rows: DataFrame, key: str, *, eps: float = 0.01, confidence: float = 0.99, seed: int = 7) -> DataFrame:
+    """One row with a count-min sketch (as binary) of a column's values; mergeable."""
+    return rows.agg(F.count_min_sketch(F.col(key), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))

@@ -215,7 +215,7 @@ k AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 s AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(id, other) AS (SELECT a, b FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.other)
 SELECT id, least(id, min(other)) AS cluster FROM r GROUP BY id""")
 def clone_clusters(spark, sf):
-    return S.clusters(S.overlap_pairs(S.document_grams(read_table(spark, sf, "documents"))))
+    return S.overlap_clusters(S.document_grams(read_table(spark, sf, "documents")))
 
 
 @query()

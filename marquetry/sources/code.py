@@ -10,6 +10,9 @@ parse gives the facts that the line patterns find.
 
 - function: name, visibility in ``detail``, attributes in ``items``; class: parents in ``items``
 - call, ref: the name used; import: alias in ``detail``, module in ``items[0]``
+- reexport: a name handed on (or ``*``), the name it is shown by in ``detail``, module in ``items[0]``
+- attribute: the text of an attribute or annotation, wherever it stands
+- impl: the type in ``name``, the trait in ``detail`` (null: the type's own block)
 - cfg_block, cfg_edge: ``line`` and ``line_end`` are block numbers, ``detail`` the kind
 - def, use: variable ``name`` in block ``line`` at statement ``line_end``
 """
@@ -17,11 +20,12 @@ parse gives the facts that the line patterns find.
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import language_of, stable_id
@@ -31,15 +35,74 @@ MOST_BYTES = 1 << 20
 FACTS = "file string, language string, tag string, name string, owner string, line int, line_end int, detail string, items array<string>"
 
 
-def scan(spark: SparkSession, root: str, *, pruned: tuple[str, ...] = PRUNED, most_bytes: int = MOST_BYTES) -> DataFrame:
+#: Files that tell a virtual environment, whatever its folder is called.
+ENVIRONMENTS = r"(^|/)(pyvenv\.cfg|conda-meta/history)$"
+
+
+def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
+    """One line of an ignore file as ``(pattern over paths, negated)``; None for no rule.
+
+    ``**`` is any folders, ``*`` and ``?`` stay in a name, a slash inside or before fixes
+    the pattern to its folder, one at the end means folders only.
+    """
+    text = line.rstrip()
+    if not text or text.startswith("#"):
+        return None
+    negated = text.startswith("!")
+    text = text[negated:]
+    text = text[1:] if text.startswith("\\") else text
+    folders_only, fixed = text.endswith("/"), "/" in text.rstrip("/")
+    out = ""
+    for part in re.split(r"(\*\*/|/\*\*$|\*|\?|\[[^\]]*\])", text.strip("/")):
+        out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part.startswith("[") and part.endswith("]") else re.escape(part))
+    base = re.escape(folder) + "/" if folder else ""
+    return f"^{base}{'' if fixed else '(?:.*/)?'}{out}{'/.*' if folders_only else '(?:/.*)?'}$", negated
+
+
+def ignore_files_of(spark: SparkSession, root: str, most_depth: int = 8) -> list[tuple[str, str]]:
+    """``(folder, text)`` of the ignore files under ``root``, outer ones first. Readers skip
+    hidden files, so these are listed and read by the driver, through the same file system."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found = fs.makeQualified(top).toUri().getPath().rstrip("/"), []
+    for depth in range(most_depth + 1):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * depth + "/.gitignore")) or []:
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            found.append((status.getPath().getParent().toUri().getPath()[len(base) + 1 :], text))
+    return found
+
+
+def _ignored(files: list[tuple[str, str]]) -> Column:
+    """Whether ignore files leave a path out: the last rule that fits decides."""
+    verdict = F.lit(False)
+    for folder, text in files:
+        for line in text.split("\n"):
+            rule = ignore_pattern(line, folder)
+            if rule:
+                verdict = F.when(F.col("file").rlike(rule[0]), F.lit(not rule[1])).otherwise(verdict)
+    return verdict
+
+
+def scan(spark: SparkSession, root: str, *, pruned: tuple[str, ...] = PRUNED, most_bytes: int = MOST_BYTES, ignore_files: bool = True) -> DataFrame:
     """``(file, language, size, source)`` of known languages under ``root``; hidden and
-    pruned folders, empty and oversized files are left out before any content is read."""
+    pruned folders, virtual environments, what ignore files name, empty and oversized files
+    are left out before any content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     tail = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     base = root.split("://")[-1].split(":", 1)[-1].rstrip("/")
     inside = F.expr("substring(p, locate(b, p) + length(b) + 1)")
     rows = raw.filter(F.col("length").between(1, most_bytes)).withColumns({"p": tail, "b": F.lit(base)}).withColumn("file", inside)
     skip = r"(^|/)(\.[^/]*|" + "|".join(map(re.escape, pruned)) + r")(/|$)"
+    homes = [
+        r.home for r in rows.filter(F.col("file").rlike(ENVIRONMENTS)).select(F.regexp_replace("file", ENVIRONMENTS, "").alias("home")).distinct().toLocalIterator()
+    ]
+    for home in homes:  # one a virtual environment
+        rows = rows.filter(~F.col("file").startswith(home + "/")) if home else rows
+    if ignore_files:
+        rows = rows.filter(~_ignored(ignore_files_of(spark, root)))
     named = rows.filter(~F.col("file").rlike(skip)).withColumn("language", language_of(F.col("file"))).filter("language is not null")
     return named.select("file", "language", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("source"))
 
@@ -96,7 +159,10 @@ class _Python(ast.NodeVisitor):
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         for a in node.names:
-            self.put("import", a.name, node.lineno, node.lineno, a.asname, ["." * node.level + (node.module or "")])
+            module = "." * node.level + (node.module or "")
+            self.put("import", a.name, node.lineno, node.lineno, a.asname, [module])
+            if not self.scope:  # a module hands on what it imports at its top
+                self.put("reexport", a.name, node.lineno, node.lineno, a.asname, [module])
 
     def visit_Assign(self, node: ast.Assign) -> None:
         if not self.scope and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, (ast.List, ast.Tuple)):
@@ -228,6 +294,14 @@ _IMPORTS = [
         r"^\s*#\s*include\s*[<\"](?P<m>[^>\"]+)[>\"](?P<n>)", r"^\s*require(?:_relative)?\s+['\"](?P<m>[^'\"]+)['\"](?P<n>)", r"^\s*(?:import\s+)?(?P<n>\w+\s+)?\"(?P<m>[\w./-]+)\"\s*$",
     )
 ]
+_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b\s*(?:<[^{]*?>\s+)?(?:!?(?P<trait>[\w:]+)(?:<.*?>)?\s+for\s+)?&?(?P<type>[\w:]+)")
+_REEXPORTS = [
+    re.compile(p) for p in (
+        r"^\s*export\s+(?:type\s+)?\{(?P<n>[^}]*)\}\s*from\s*['\"](?P<m>[^'\"]+)['\"]", r"^\s*export\s+(?P<n>\*)(?:\s+as\s+\w+)?\s+from\s*['\"](?P<m>[^'\"]+)['\"]",
+        r"^\s*pub\s+use\s+(?P<m>[\w:]+)::(?P<n>\{[^}]*\}|\w+|\*)",
+    )
+]
+_EXPORT = re.compile(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+(\w+)|^\s*(?:module\.)?exports\.(\w+)\s*=")
 _NOT_CALLS = frozenset("if for while switch catch return function fn func def match sizeof typeof new class elif with and or not in is lambda do else when".split())
 
 
@@ -251,16 +325,40 @@ def scope_end(lines: list[str], at: int, language: str) -> int:
         opened |= "{" in bare
         if opened and depth <= 0:
             return i
-        if not opened and i > at and bare.rstrip().endswith(";"):
+        if not opened and bare.rstrip().endswith(";"):
             return i
     return len(lines) - 1 if opened else at
 
 
+def marks_above(lines: list[str], at: int) -> list[str]:
+    """Attributes, annotations and decorators of what opens on line ``at``: all that stand
+    right above it, over several lines too, comments between them left out. Those of one line
+    with the head count as well."""
+    out, held, i = [], "", at - 1
+    while i >= 0:
+        text = lines[i].strip()
+        if held or text.endswith((")", "]")) and not re.match(r"(?:@[\w.]|#!?\[)", text):
+            held = f"{text} {held}".strip()
+            if re.match(r"(?:@[\w.]|#!?\[)", text):
+                out.append(held)
+                held = ""
+            elif not text or text.endswith(("{", "}", ";")):
+                break
+        elif re.match(r"(?:@[\w.]|#!?\[)", text):
+            out.append(text)
+        elif not re.match(r"//|/\*|\*", text):
+            break
+        i -= 1
+    return [*reversed(out), *re.findall(r"^\s*(@\w+(?:\([^)]*\))?)", lines[at])]
+
+
 def _by_patterns(source: str, language: str) -> list[tuple]:
     family = _SAME.get(language, language)
-    lines, rows, spans = source.split("\n"), [], []
+    lines, rows, spans, owners = source.split("\n"), [], [], []  # owners: what methods belong to
     opens = re.compile(FUNCTIONS.get(family, r"\b(?:function|func|fn|def|fun)\s+(\w+)"))
     for i, line in enumerate(lines):
+        if re.match(r"\s*(?:@[\w.]+|#!?\[)", line):
+            rows.append(("attribute", line.strip(), "", i + 1, i + 1, None, []))
         if re.match(r"\s*(?://|#(?!\s*include)|\*|/\*)", line):
             continue
         c = _CLASS.search(line)
@@ -272,13 +370,27 @@ def _by_patterns(source: str, language: str) -> list[tuple]:
             name = next(g for g in f.groups() if g)
             if name not in _NOT_CALLS:
                 hidden = re.search(r"\bprivate\b|\bstatic\b.*\bvoid\b", line) and family in ("java", "c") or family == "rust" and "pub" not in line or family == "go" and name[0].islower()
-                marks = [lines[k].strip() for k in range(max(0, i - 3), i) if re.match(r"\s*(?:@\w|#\[)", lines[k])]
+                marks = marks_above(lines, i)
                 spans.append((i, scope_end(lines, i, language), name, "function", "private" if hidden else "public", marks))
+        m = _IMPL.match(line) if family == "rust" else None
+        if m:
+            held = m["trait"] and m["trait"].split("::")[-1]
+            end = scope_end(lines, i, language)
+            rows.append(("impl", m["type"].split("::")[-1], "", i + 1, end + 1, held, []))
+            owners.append((i, end, m["type"].split("::")[-1]))
+        if family == "javascript" and (m := _EXPORT.match(line)):
+            rows.append(("export", m[1] or m[2], "", i + 1, i + 1, None, []))
+        for pattern in _REEXPORTS:
+            if m := pattern.match(line):
+                for part in re.sub(r"[{}]", "", m["n"]).split(","):
+                    name, _, shown = part.strip().partition(" as ")
+                    if name:
+                        rows.append(("reexport", name.strip(), "", i + 1, i + 1, shown.strip() or None, [m["m"]]))
     for a, b, name, tag, seen, items in spans:
-        around = [s for s in spans if s[0] < a and b <= s[1]]
-        rows.append((tag, name, ".".join(s[2] for s in sorted(around)), a + 1, b + 1, seen, items))
+        around = [s for s in [*spans, *owners] if s[0] < a and b <= s[1]]
+        rows.append((tag, name, ".".join(s[2] for s in sorted(around, key=lambda s: s[:3])), a + 1, b + 1, seen, items))
     for i, line in enumerate(lines):
-        inside = ".".join(s[2] for s in sorted(s for s in spans if s[0] <= i <= s[1]))
+        inside = ".".join(s[2] for s in sorted((s for s in [*spans, *owners] if s[0] <= i <= s[1]), key=lambda s: s[:3]))
         heads = {s[2] for s in spans if s[0] == i}
         for m in _CALL.finditer(line):
             name = re.sub(r"::|->", ".", m[1])
@@ -342,3 +454,21 @@ def flow_tables(facts: DataFrame) -> dict[str, DataFrame]:
         "edges": facts.filter("tag = 'cfg_edge'").select(func, F.col("line").alias("src"), F.col("line_end").alias("dst"), F.col("detail").alias("kind")),
         "defs": var.filter("tag = 'def'").drop("tag"), "uses": var.filter("tag = 'use'").drop("tag"),
     }
+
+
+def impl_blocks(facts: DataFrame) -> DataFrame:
+    """``(file, trait, type, line_start, line_end)`` of Rust ``impl`` blocks."""
+    rows = facts.filter("tag = 'impl'")
+    return rows.select("file", F.col("detail").alias("trait"), F.col("name").alias("type"), F.col("line").alias("line_start"), "line_end")
+
+
+def project_root(paths: list[str], exists, markers: tuple[str, ...] = ("Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", ".git")) -> str:
+    """The folder that all ``paths`` share, or the first one above it that holds a marker;
+    ``exists(path)`` tells what is there."""
+    common = "/".join(p for p, *_ in itertools.takewhile(lambda c: len(set(c)) == 1, ([*x] for x in zip(*(p.split("/")[:-1] for p in paths), strict=False)))) if paths else ""
+    at = common
+    while at:
+        if any(exists(f"{at}/{m}") for m in markers):
+            return at
+        at = at.rpartition("/")[0]
+    return common

@@ -52,23 +52,57 @@ class Config:
         return {k: v for k, v in named.items() if v is not None}
 
 
+#: Names under which a configuration is looked for, in order.
+CANDIDATES = ("marquetry.toml", ".marquetry.toml", "marquetry.json", ".marquetry.json", ".config/marquetry.toml")
+
+
+def discover(root: str, env: dict[str, str] | None = None) -> Config:
+    """The first configuration under ``root``, else the defaults; variables come on top."""
+    paths = (os.path.join(root, name) for name in CANDIDATES)
+    return Config.load(next((p for p in paths if os.path.exists(p)), None), env=env)
+
+
 #: What tells a framework, and the names and attributes that it calls by itself.
+#: A short table; ``load_presets`` adds others from a file.
 PRESETS: dict[str, dict] = {
-    "django": {"files": ["manage.py"], "deps": ["django"], "attributes": ["receiver", "admin.register"], "functions": ["ready", "handle"]},
-    "flask": {"files": [], "deps": ["flask"], "prefixes": ["app.route", "bp.route", "blueprint."], "functions": []},
-    "fastapi": {"files": [], "deps": ["fastapi"], "prefixes": ["app.get", "app.post", "app.put", "app.delete", "router."], "functions": []},
-    "pytest": {"files": ["conftest.py", "pytest.ini"], "deps": ["pytest"], "prefixes": ["pytest."], "functions": []},
-    "celery": {"files": [], "deps": ["celery"], "prefixes": ["app.task", "shared_task", "task"], "functions": []},
-    "express": {"files": [], "deps": ["express"], "functions": []},
-    "react": {"files": [], "deps": ["react"], "functions": ["render", "componentDidMount", "componentWillUnmount"]},
-    "next": {"files": ["next.config.js", "next.config.mjs"], "deps": ["next"], "functions": ["getServerSideProps", "getStaticProps", "getStaticPaths", "generateMetadata"]},
-    "angular": {"files": ["angular.json"], "deps": ["@angular/core"], "prefixes": ["@Component", "@Injectable", "@NgModule"], "functions": ["ngOnInit", "ngOnDestroy"]},
-    "spring": {"files": ["pom.xml", "build.gradle"], "deps": [], "prefixes": ["@Bean", "@GetMapping", "@PostMapping", "@RequestMapping", "@Scheduled", "@EventListener"], "functions": []},
-    "aws_cdk": {"files": ["cdk.json"], "deps": ["aws-cdk-lib"], "functions": ["handler", "lambda_handler"]},
-    "serde": {"files": ["Cargo.toml"], "deps": ["serde"], "prefixes": ["#[derive(", "#[serde"], "functions": ["default", "fmt", "from", "deserialize", "serialize"]},
+    "actix": {"deps": ["actix-web"], "prefixes": ["#[get(", "#[post(", "#[put(", "#[delete(", "#[actix_web::"]},
+    "angular": {"files": ["angular.json"], "deps": ["@angular/core"], "prefixes": ["@Component", "@Directive", "@Injectable", "@NgModule", "@Pipe"], "functions": ["ngOnInit", "ngOnDestroy", "ngOnChanges"]},
+    "aspnet": {"deps": ["microsoft.aspnetcore"], "prefixes": ["[ApiController", "[Authorize", "[Http", "[Route"]},
+    "aws_cdk": {"files": ["cdk.json"], "deps": ["aws-cdk-lib", "@aws-cdk/core"], "functions": ["handler", "lambda_handler"]},
+    "axum": {"deps": ["axum"], "prefixes": ["#[debug_handler", "#[tokio::main"], "functions": ["app", "router"]},
+    "celery": {"deps": ["celery"], "prefixes": ["app.task", "shared_task"]},
+    "criterion": {"deps": ["criterion"], "prefixes": ["#[bench"]},
+    "django": {"files": ["manage.py"], "deps": ["django"], "attributes": ["receiver", "admin.register", "login_required", "csrf_exempt"], "functions": ["ready", "handle"]},
+    "express": {"deps": ["express"], "attributes": ["route", "handler", "endpoint"]},
+    "fastapi": {"deps": ["fastapi"], "prefixes": ["app.delete", "app.get", "app.post", "app.put", "router."]},
+    "flask": {"deps": ["flask"], "prefixes": ["app.route", "app.before_request", "app.errorhandler", "bp.route", "blueprint."]},
+    "jpa": {"deps": ["javax.persistence", "jakarta.persistence", "hibernate"], "prefixes": ["@Embeddable", "@Entity", "@MappedSuperclass", "@PrePersist"]},
+    "lombok": {"deps": ["lombok", "org.projectlombok"], "prefixes": ["@Builder", "@Data", "@Getter", "@Setter", "@Value"]},
+    "nestjs": {"deps": ["@nestjs/core", "@nestjs/common"], "prefixes": ["@Controller", "@Delete", "@Get", "@Injectable", "@Module", "@Post", "@Put"], "functions": ["onModuleInit", "onModuleDestroy"]},
+    "next": {"files": ["next.config.js", "next.config.mjs", "next.config.ts"], "deps": ["next"], "functions": ["GET", "POST", "PUT", "DELETE", "generateMetadata", "generateStaticParams", "getServerSideProps", "getStaticPaths", "getStaticProps", "middleware"]},
+    "pytest": {"files": ["conftest.py", "pytest.ini"], "deps": ["pytest"], "prefixes": ["pytest."]},
+    "r6": {"deps": ["r6"], "functions": ["initialize", "finalize", "print", "clone"]},
+    "rails": {"files": ["config/application.rb"], "deps": ["rails"], "functions": ["index", "show", "create", "update", "destroy"]},
+    "react": {"deps": ["react", "react-dom"], "functions": ["App", "render", "componentDidMount", "componentDidUpdate", "componentWillUnmount"]},
+    "rust": {"files": ["Cargo.toml"], "prefixes": ["#[derive(", "#[no_mangle", "#[serde"]},
+    "serde": {"deps": ["serde"], "functions": ["default", "deserialize", "fmt", "from", "serialize"]},
+    "shiny": {"deps": ["shiny"], "functions": ["moduleServer", "observe", "reactive", "runApp", "server", "shinyApp", "ui"]},
+    "spring": {"files": ["pom.xml", "build.gradle", "build.gradle.kts"], "deps": ["spring-boot", "org.springframework"], "prefixes": ["@Bean", "@Component", "@Configuration", "@Controller", "@DeleteMapping", "@EventListener", "@GetMapping", "@PatchMapping", "@PostConstruct", "@PostMapping", "@PreDestroy", "@PutMapping", "@Repository", "@RequestMapping", "@RestController", "@Scheduled", "@Service"]},
+    "swiftui": {"deps": ["swiftui"], "prefixes": ["@main"], "functions": ["body", "makeBody"]},
+    "tidyverse": {"deps": ["tidyverse", "dplyr", "ggplot2", "tidyr", "readr", "purrr"], "functions": ["arrange", "filter", "mutate", "select", "summarise"]},
+    "uikit": {"deps": ["uikit"], "prefixes": ["@IBAction", "@objc"], "functions": ["viewDidLoad", "viewWillAppear"]},
+    "vapor": {"deps": ["vapor"], "functions": ["boot", "configure", "routes"]},
+    "vue": {"deps": ["vue", "nuxt"], "functions": ["beforeMount", "created", "mounted", "setup", "updated"]},
+    "xctest": {"deps": ["xctest"], "functions": ["setUp", "setUpWithError", "tearDown"]},
 }
 
 
+def load_presets(path: str) -> dict[str, dict]:
+    """The built-in presets with those of a JSON file, which replace equal names."""
+    with open(path, encoding="utf-8") as f:
+        return {**PRESETS, **json.load(f)}
+
+
 def dependencies(root: str) -> set[str]:
     """Names that manifests of a project declare."""
     found: set[str] = set()
@@ -79,7 +113,7 @@ def dependencies(root: str) -> set[str]:
         found |= {*data.get("dependencies", {}), *data.get("devDependencies", {})}
     for name, pattern in (
         ("requirements.txt", r"(?m)^\s*([A-Za-z0-9_.-]+)"), ("pyproject.toml", r"[\"']([A-Za-z0-9_.-]+)\s*(?:[<>=~!\[][^\"']*)?[\"']"), ("Cargo.toml", r"(?m)^\s*([A-Za-z0-9_-]+)\s*="),
-        ("DESCRIPTION", r"(?m)^\s+([A-Za-z0-9.]+)"), ("Package.swift", r"/([A-Za-z0-9_-]+?)(?:\.git)?\""),
+        ("DESCRIPTION", r"(?:Imports|Depends|Suggests):|(?<=[\s,:])([A-Za-z][A-Za-z0-9.]+)(?=\s*(?:,|\(|\n|$))"), ("Gemfile", r"(?m)^\s*gem\s+['\"]([\w-]+)"), ("pom.xml", r"<(?:groupId|artifactId)>([\w.-]+)<"), ("build.gradle", r"['\"]([\w.-]+):[\w.-]+"), ("Package.swift", r"/([A-Za-z0-9_-]+?)(?:\.git)?\""),
     ):
         path = os.path.join(root, name)
         if os.path.exists(path):
@@ -88,15 +122,28 @@ def dependencies(root: str) -> set[str]:
     return found
 
 
-def detect_presets(root: str) -> list[str]:
-    deps = dependencies(root)
-    return sorted(k for k, p in PRESETS.items() if any(os.path.exists(os.path.join(root, f)) for f in p["files"]) or deps & set(p["deps"]))
+def swift_imports(root: str, most_depth: int = 10) -> set[str]:
+    """Modules that Swift files import, in lower case."""
+    found: set[str] = set()
+    for folder, names, files in os.walk(root):
+        names[:] = [] if os.path.relpath(folder, root).count(os.sep) >= most_depth else [n for n in names if not n.startswith(".")]
+        for name in files:
+            if name.endswith(".swift"):
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                    found |= {x.lower() for x in re.findall(r"(?m)^\s*import\s+(\w+)", f.read())}
+    return found
+
+
+def detect_presets(root: str, presets: dict[str, dict] | None = None) -> list[str]:
+    deps = {x.lower() for x in dependencies(root)} | swift_imports(root)
+    has = lambda p: any(os.path.exists(os.path.join(root, f)) for f in p.get("files", [])) or deps & set(p.get("deps", []))
+    return sorted(k for k, p in (presets or PRESETS).items() if has(p))
 
 
-def entry_rules(presets: list[str], config: Config | None = None) -> dict[str, list[str]]:
+def entry_rules(presets: list[str], config: Config | None = None, table: dict[str, dict] | None = None) -> dict[str, list[str]]:
     """Options of ``textrules.entry_points`` from presets and configuration."""
     config = config or Config()
-    get = lambda k: sorted({x for p in presets for x in PRESETS[p].get(k, [])})
+    get = lambda k: sorted({x for p in presets for x in (table or PRESETS)[p].get(k, [])})
     return {
         "exact": get("attributes") + config.entry_attributes, "prefixes": get("prefixes") + config.entry_prefixes,
         "functions": get("functions") + config.entry_functions,
@@ -125,6 +172,16 @@ def entry_files(root: str, most_depth: int = 10) -> set[str]:
             elif name == "cdk.json":
                 with open(path, encoding="utf-8") as f:
                     found |= {place(x) for x in re.findall(r"[\w./-]+\.(?:py|ts|js)\b", json.load(f).get("app", ""))}
+            elif re.fullmatch(r"(?:docker-)?compose(?:\.[\w-]+)?\.ya?ml", name):
+                with open(path, encoding="utf-8") as f:
+                    text = f.read()
+                homes = re.findall(r"(?m)^\s*(?:build|context):\s*['\"]?([\w./-]+)['\"]?\s*$", text) or ["."]
+                for line in re.findall(r"(?m)^\s*(?:command|entrypoint):\s*(.+)$", text):
+                    found |= {place(os.path.join(h, x)) for h in homes for x in re.findall(r"[\w./-]+\.\w{1,4}\b", line)}
+            elif name in ("setup.py", "setup.cfg"):
+                with open(path, encoding="utf-8") as f:
+                    for module in re.findall(r"=\s*([\w.]+):\w+", f.read()):
+                        found.add(place(module.replace(".", "/") + ".py"))
             elif name == "pyproject.toml":
                 with open(path, encoding="utf-8") as f:
                     for module in re.findall(r"=\s*[\"']([\w.]+):\w+[\"']", f.read()):

@@ -29,12 +29,22 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """``findings(rule_id, severity, title, file, line_start, line_end)`` as SARIF results."""
+    """``findings(rule_id, severity, title, file, line_start, line_end)`` as SARIF results;
+    with ``related(array<struct<file, line_start, line_end>>)`` their places, with ``fix`` a
+    suggested change in words."""
+    spot = lambda f, a, z: F.struct(
+        F.struct(F.struct(f.alias("uri")).alias("artifactLocation"), F.struct(a.alias("startLine"), F.coalesce(z, a).alias("endLine")).alias("region")).alias("physicalLocation")
+    )
+    more = []
+    if "related" in findings.columns:
+        more.append(F.transform("related", lambda x: spot(x["file"], x["line_start"], x["line_end"])).alias("relatedLocations"))
+    if "fix" in findings.columns:
+        more.append(F.when(F.col("fix").isNotNull(), F.array(F.struct(F.struct(F.col("fix").alias("text")).alias("description")))).alias("fixes"))
     region = F.struct(F.col("line_start").alias("startLine"), F.coalesce("line_end", "line_start").alias("endLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
         F.col("rule_id").alias("ruleId"), lookup(LEVELS, F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"),
-        F.array(place).alias("locations"), F.struct(lookup(SECURITY, F.col("severity")).alias("security-severity")).alias("properties"),
+        F.array(place).alias("locations"), *more, F.struct(lookup(SECURITY, F.col("severity")).alias("security-severity")).alias("properties"),
     )
     return findings.select(F.to_json(result).alias("value"))
 
@@ -85,6 +95,6 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def check_report(violations: DataFrame) -> tuple[bool, list[str]]:
-    """Whether a check passed and its lines; a row a category, so a few."""
-    rows = violations.orderBy("category").limit(1000).collect()
+    """Whether a check passed and its lines; one a category, and those are fixed in number."""
+    rows = violations.orderBy("category").collect()
     return not rows, [r["message"] for r in rows]

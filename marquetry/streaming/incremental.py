@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,37 @@ def running_counts(stream: DataFrame, key: str, *, time_col: str | None = None,
 def session_counts(rows: DataFrame, key: str, time_col: str, gap: str) -> DataFrame:
     """Sessions of a key: ``(key, start, n)``, for batches and (with a watermark) streams."""
     return rows.groupBy(F.session_window(time_col, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def diff_run(cached: DataFrame, current: DataFrame, edges: DataFrame, nodes: DataFrame, fresh: Callable[[DataFrame], DataFrame], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a change leads to: ``(file, change)`` with callers' files as ``affected``, and the
+    rows of the cache joined with new ones of added and changed files."""
+    from marquetry.operators.resolve import affected_files
+
+    changes = detect_changes(cached, current)
+    touched = changes.filter("change in ('added', 'changed', 'deleted')").select("file")
+    more = affected_files(nodes, edges, touched).join(touched, "file", "left_anti").select("file", F.lit("affected").alias("change"))
+    return touched.join(changes, "file").unionByName(more), incremental(rows, changes, fresh, current)
+
+
+class ResultCache:
+    """Results by name and generation: ``get`` computes what is missing, older than
+    ``max_age`` seconds, or of a former generation; ``bump`` starts a new one. Values are
+    DataFrames, persisted while they are held."""
+
+    def __init__(self, max_age: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.max_age, self.clock, self.generation, self.held = max_age, clock, 0, {}
+
+    def bump(self) -> int:
+        self.generation += 1
+        return self.generation
+
+    def get(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        now, found = self.clock(), self.held.get(name)
+        if found is not None and found[0] == self.generation and now - found[1] <= self.max_age:
+            return found[2]
+        if found is not None:
+            found[2].unpersist()
+        value = make().persist()
+        self.held[name] = (self.generation, now, value)
+        return value

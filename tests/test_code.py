@@ -266,3 +266,128 @@ def test_scan_and_config(spark, tmp_path):
     assert config.detect_presets(str(tmp_path)) == ["react"] and config.entry_files(str(tmp_path)) == {"src/index.js"}
     (tmp_path / "m.toml").write_text("min_lines = 9\n")
     assert config.Config.load(str(tmp_path / "m.toml"), env={"MARQUETRY_MAX_CLONES": "4"}).limits() == {"clones": 4}
+
+
+def test_paths_are_ignored_as_ignore_files_say(spark, tmp_path):
+    for path, text in {
+        "a.py": "x", "log/b.py": "x", "keep/log/c.py": "x", "gen/d.py": "x", "gen/stay.py": "x", ".gitignore": "/log/\ngen/*\n!gen/stay.py\n", "env2/pyvenv.cfg": "x", "env2/lib/e.py": "x",
+    }.items():
+        p = tmp_path / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    assert {r.file for r in code.scan(spark, str(tmp_path)).collect()} == {"a.py", "keep/log/c.py", "gen/stay.py"}
+    assert code.project_root(["r/a/b.py", "r/a/c/d.py"], lambda p: p == "r/go.mod") == "r" and code.project_root([], lambda p: True) == ""
+
+
+def test_narrowed_pattern_rules(spark):
+    rule = U.convert({"id": "open", "message": "m", "severity": "ERROR", "patterns": [{"pattern": "open($X)"}, {"pattern-not": "open(SAFE)"}]})
+    rows = [("a", "python", "open(path)"), ("b", "python", "open(SAFE)"), ("c", "python", "x")]
+    assert {r.file for r in U.apply_rules(spark.createDataFrame(rows, "file string, language string, source string"), [rule]).collect()} == {"a"}
+    with pytest.raises(ValueError):
+        U.convert({"id": "x", "message": "m", "patterns": [{"pattern": "a"}, {"pattern-inside": "b"}]})
+
+
+def random_graph(spark, n, m, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    return pairs, spark.createDataFrame(pairs, "src long, dst long"), spark.range(n + 2)
+
+
+def test_distributed_graph_code_equals_the_local_one(spark):
+    _, e, n = random_graph(spark, 30, 45, 1)
+    for run in (
+        lambda most: G.strongly_connected(n, e, local_edges=most), lambda most: G.reach(e, spark.range(3), local_edges=most),
+        lambda most: G.pagerank(n, e, rounds=4, local_edges=most).select("id", F.round("score", 9)),
+    ):
+        assert sorted(map(tuple, run(10**6).collect())) == sorted(map(tuple, run(0).collect()))
+
+
+def test_betweenness_counts_shortest_paths(spark):
+    pairs, e, n = random_graph(spark, 14, 30, 2)
+    succ = {}
+    for a, b in set(pairs):
+        succ.setdefault(a, set()).add(b)
+
+    def shortest(a, b):
+        paths = [[a]]
+        seen = {a}
+        while paths:
+            done = [p for p in paths if p[-1] == b]
+            if done:
+                return done
+            paths = [[*p, x] for p in paths for x in succ.get(p[-1], ()) if x not in seen]
+            seen |= {p[-1] for p in paths}
+        return []
+
+    want = dict.fromkeys(range(16), 0.0)
+    for a, b in itertools.permutations(range(14), 2):
+        found = shortest(a, b)
+        for p in found:
+            for x in p[1:-1]:
+                want[x] += 1 / len(found)
+    got = {r.id: r.score for r in G.betweenness(n, e).collect()}
+    assert got == pytest.approx({k: v / (15 * 14) for k, v in want.items()})
+
+
+def test_rapid_types_is_the_least_fixed_point(spark):
+    rng = random.Random(4)
+    direct = {(rng.randrange(20), rng.randrange(20)) for _ in range(15)}
+    virtual = {(rng.randrange(20), rng.randrange(20)) for _ in range(40)}
+    owner = {i: f"c{i % 4}" for i in range(20)}
+    made = {(i, f"c{rng.randrange(4)}") for i in range(0, 20, 3)}
+    reached = {0}
+    while True:
+        types = {c for i, c in made if i in reached}
+        more = {b for a, b in direct if a in reached} | {b for a, b in virtual if a in reached and owner[b] in types}
+        if more <= reached:
+            break
+        reached |= more
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    methods = frame({(i, c, "m") for i, c in owner.items()}, "id long, class string, name string")
+    got = G.rapid_types(frame(direct, "src long, dst long"), spark.range(1), frame(virtual, "src long, target long"), frame(made, "id long, class string"), methods)
+    assert {r.id for r in got.collect()} == reached
+
+
+def test_signature_pairs_find_nearly_all(spark):
+    from marquetry.operators import similarity as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = {(r.a, r.b) for r in S.overlap_pairs(S.document_grams(docs)).filter("jaccard >= 0.85").collect()}
+    groups = {r.id: r.cluster for r in S.clusters(S.lsh_pairs(S.minhash(docs), threshold=0.8)).collect()}
+    found = {p for p in exact if groups.get(p[0], p[0]) == groups.get(p[1], p[1])}
+    assert len(exact) > 50 and len(found) >= 0.9 * len(exact)
+
+
+def test_file_clones_lose_no_pair_of_close_fingerprints(spark):
+    text = "\n".join(f"def f{i}(a, b):\n    return a * {i} + b" for i in range(30))
+    rows = [(1, "a.py", text), (2, "b.py", text.replace("f3(", "g3(")), (3, "c.py", "x = [1, 2, 3]\nprint(x)\n" * 9)]
+    files = spark.createDataFrame(rows, "id long, file string, source string")
+    assert {(r.a, r.b) for r in C.file_clones(files).collect()} == {(1, 2)}
+
+
+def test_results_are_held_for_a_generation(spark):
+    now = [0.0]
+    cache, made = I.ResultCache(10, lambda: now[0]), []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert cache.get("a", make).count() == 3 and cache.get("a", make).count() == 3 and len(made) == 1
+    now[0] = 11
+    cache.get("a", make)
+    cache.bump()
+    cache.get("a", make)
+    assert len(made) == 3
+
+
+def test_sketch_algebra_and_running_totals(spark):
+    from marquetry.operators import similarity as S
+    from marquetry.runtime import running_total
+
+    grams = spark.createDataFrame([(d, f"g{i}") for d, r in ((1, range(0, 300)), (2, range(100, 400))) for i in r], "doc_id long, gram string")
+    row = S.sketch_algebra(spark.createDataFrame([(1, 2)], "a long, b long"), S.distinct_sketches(grams)).first()
+    assert (row.both, row.either) == (200, 400) and row.jaccard == 0.5
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    assert all(r.t == sum(i % 7 for i in range(r.id)) for r in running_total(rows, ["id"], F.col("v"), "t").collect())
+    assert running_total(rows.limit(0), ["id"], F.col("v"), "t").count() == 0

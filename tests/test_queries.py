@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+import marquetry.plans.code_queries  # noqa: F401  registers its queries
 import marquetry.plans.more_queries  # noqa: F401  registers its queries
 from marquetry.plans.queries import ORACLES, QUERIES
 
