@@ -13,7 +13,8 @@ A hot source never gathers: documents move by the hash of their copies.
 Edge cases: null and empty texts count no characters and are replicated like others;
 a null source is a source; a source without characters has rate one; repeated rows
 draw equally, so each repeat has the same number of copies; an empty table gives an
-empty result; other columns pass through, clashing names included.
+empty result; other columns pass through, but for one named like ``copy_col``, which
+is replaced; names that clash with inner ones do no harm.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.runtime import fresh_name, lookup_join, read_table
+from marquetry.runtime import cut, fresh_name, lookup_join, read_table
 
 SEED = 17
 #: Characters wanted from each source, for one of the corpus, when no weights are given:
@@ -61,7 +62,7 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None = None
         wanted = F.lit(0.0)
         for name, weight in weights.items():
             wanted = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(wanted)
-    shares = sums.withColumn("wanted", wanted)
+    shares = cut(sums.withColumn("wanted", wanted))  # texts are read once, not for the totals too
     totals = shares.agg(F.sum("chars").alias("all_chars"), F.sum("wanted").alias("all_wanted")).first()
     every, goal = totals["all_chars"] or 0, totals["all_wanted"] or 0.0
     if not every or not goal:
@@ -77,7 +78,8 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with each row as often as drawn, in a global random order.
 
-    ``copy_col`` numbers a row's copies from 0; None leaves it out.
+    ``copy_col`` numbers a row's copies from 0, in place of a column of that name; None
+    leaves it out.
     """
     rates = repetition_rates(docs, weights, source_col=source_col, text_col=text_col)
     taken = docs.columns
@@ -99,7 +101,7 @@ def mix_sources(
         copies.withColumn(order, F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy)))
         .repartition(F.col(order)).sortWithinPartitions(order)
     )
-    names = [F.col(f"`{c}`") for c in taken]
+    names = [F.col(f"`{c}`") for c in taken if copy_col is None or c.lower() != copy_col.lower()]
     if copy_col is not None:
         names.append(F.col(copy).cast("long").alias(copy_col))
     return shuffled.select(*names)

@@ -239,3 +239,30 @@ def test_large_keys_are_cut_in_cells(spark):
     rows = spark.createDataFrame([(v, i) for i, v in enumerate(sorted(values))], "fp long, rep long")
     got = connected_components(simhash.links(rows, cell=16)).collect()
     assert len(got) == len(values) and {r.component for r in got} == {0}
+
+
+def test_many_texts_at_once_are_the_library(lib):
+    rng = random.Random(6)
+    letters = [chr(c) for c in [*range(32, 127), *range(0xA0, 0x250), 0x0A, 0x0D, 0x09, 0x300, 0x3A3, 0x4E2D, 0x1F600, 0x200B]]
+    texts = [None, "", " "] + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(400)]
+    texts += ["".join(rng.choices("aeinorst", k=rng.randrange(1, 90))) + rng.choice(["", ".", "!!", "'s"]) for _ in range(400)] + ["&" * 3000, "<|endoftext|>", "x<|endoftext|>y"]
+    flat, sizes = lib.encode_many(texts)
+    want = [expected_ids(lib, t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    decoded = lib.decode_many(flat, sizes).to_pylist()
+    assert decoded == [lib.library.decode(w, skip_special_tokens=False) for w in want]
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]):  # each plain letter, inside a word and alone
+        assert np.frombuffer(lib.encode(f"{c} a{c}b"), "<u4").tolist() == expected_ids(lib, f"{c} a{c}b")
+
+
+def test_slices_hold_whole_texts_in_order():
+    import pyarrow as pa
+
+    from marquetry.llm.tokenizer import slices, text_slices
+
+    texts = ["x" * n for n in (5, 0, 300, 2, 2, 2)] + [None]
+    parts = list(text_slices(pa.array(texts), most_bytes=10, most_rows=3))
+    assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) <= 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    assert [i for b in slices(batch, most_bytes=10) for i in b.column(0).to_pylist()] == list(range(7))
+    assert list(text_slices(pa.array([], pa.string()))) == []

@@ -180,3 +180,130 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(wide(spark).limit(0), copy_col=None).count() == 0
     heavy = mixing.mix_sources(wide(spark).drop("copy"), {"a": 1.0})
     assert heavy.filter("source = 'a'").count() >= 0
+
+
+def small(spark):
+    rows = docs_of(spark).select("doc_id", "text", "lang", "source").collect()
+    marks = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        marks[r.doc_id] = (r.quality, r.toxic)
+    return rows, marks
+
+
+def test_op1_against_brute_force(spark):
+    rows, marks = small(spark)
+    known = sorted((str(r.doc_id), quality_bayes.features(r.text).tolist(), marks[r.doc_id][0]) for r in rows if r.doc_id in marks)
+    w = quality_bayes.fit_logistic(np.array([x for _, x, _ in known]), np.array([float(y) for *_, y in known]))
+    p = {r.doc_id: 1 / (1 + math.exp(-max(-12, min(12, float(quality_bayes.features(r.text) @ w))))) for r in rows}
+    mean = sum(p.values()) / len(p)
+    hosts, paths = {}, {}
+    for r in rows:
+        for table, key in ((hosts, r.source), (paths, (r.source, r.lang))):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = (n + 1, s + p[r.doc_id])
+
+    def spread(table, prior):
+        docs = sum(n for n, _ in table.values())
+        around = {k: prior(k) for k in table}
+        between = max(sum(n * (s / n - around[k]) ** 2 for k, (n, s) in table.items()) - sum(m * (1 - m) for m in around.values()), 0) / docs
+        base = sum(n * around[k] * (1 - around[k]) for k, (n, _) in table.items()) / docs
+        return 1e4 if between <= base * 1e-4 else min(1e4, max(1.0, base / between - 1))
+
+    k1 = spread(hosts, lambda _: mean)
+    prior = {h: (s + k1 * mean) / (n + k1) for h, (n, s) in hosts.items()}
+    k2 = spread(paths, lambda key: prior[key[0]])
+    odds = lambda q: math.log(q / (1 - q))
+    for r in registry.QUERIES["op1_quality"](spark, SF).collect():
+        row = next(x for x in rows if x.doc_id == r.doc_id)
+        n, s = paths[row.source, row.lang]
+        site = (s - p[r.doc_id] + k2 * prior[row.source]) / (n - 1 + k2)
+        final = 1 / (1 + math.exp(-(odds(p[r.doc_id]) + quality_bayes.SITE_WEIGHT * (odds(site) - odds(mean)))))
+        assert r.document_p == pytest.approx(p[r.doc_id], abs=1e-5) and r.site_p == pytest.approx(site, abs=1e-4)
+        assert r.quality_p == pytest.approx(final, abs=1e-4) and (r.kept == (final >= 0.5) or abs(final - 0.5) < 1e-4)
+
+
+def test_op2_against_brute_force(spark):
+    rows, marks = small(spark)
+    model = toxicity.fit_toxicity(docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.weights and model.thresholds == sorted(model.thresholds)
+    said = {r.doc_id: r for r in registry.QUERIES["op2_toxicity"](spark, SF).collect()}
+    assert set(said) == {r.doc_id for r in rows}
+    for r in rows:
+        words = (r.text or "").split()
+        score = sum(1000 * model.weights.get(f, 0.0) for word in words for f in toxicity.word_features(word)) / (len(words) + toxicity.SMOOTH)
+        above = [1 / (1 + math.exp(max(-30, min(30, t - score)))) for t in model.thresholds]
+        got = said[r.doc_id]
+        assert got.expected_severity == pytest.approx(sum(above), abs=2e-6) and got.p_toxic == pytest.approx(above[0], abs=2e-6)
+        each = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        assert each[got.grade] == pytest.approx(max(each), abs=1e-6)
+        assert got.toxic == (above[0] >= toxicity.TOXIC_AT) or abs(above[0] - toxicity.TOXIC_AT) < 1e-6
+    # The features are those whose densities differ most, in units of their standard error.
+    known = [(toxicity.densities(r.text), marks[r.doc_id][1]) for r in rows if r.doc_id in marks]
+    bad, good = [x for x, y in known if y], [x for x, y in known if not y]
+    z = {}
+    for f in {f for x in bad for f in x}:
+        t, c = sum(x.get(f, 0) for x in bad) / len(bad), sum(x.get(f, 0) for x in good) / len(good)
+        q = sum(x.get(f, 0) ** 2 for x, _ in known) / len(known)
+        if sum(f in x for x in bad) >= min(toxicity.LEAST_DOCUMENTS, (len(bad) + 3) // 4) and t >= toxicity.LEAST_RATIO * c and t > c:
+            z[f] = (t - c) / math.sqrt(q * (1 / len(bad) + 1 / len(good)))
+    least = min(toxicity.MARGIN, toxicity.MARGIN_SHARE * max(z.values()))
+    assert set(model.weights) == {f for f, v in z.items() if v > least + 1e-6} or len(z) > toxicity.MOST_FEATURES
+
+
+def test_scores_of_many_texts_are_those_of_each(spark):
+    model = toxicity.OrdinalModel(["w:bad", "4:awfu"], np.array([0.5, 0.25]), np.array([1.0, 2.0, 3.0]))
+    texts = [None, "", "  ", "bad", "a BAD, awful　day\x1c bad!", "good " * 50 + "bad"]
+    import pyarrow as pa
+
+    assert model.scores(pa.array(texts, pa.string())).tolist() == [model.score(t) for t in texts]
+    assert model.score("bad awful") == pytest.approx(1000 * 0.75 / 102)
+
+
+UNSEEN = [
+    ("apache-2.0", "The server is released under the Apache License, Version 2.0."), ("bsd", "This module is released under the BSD license."), ("cc-by", "The figures are licensed under CC BY 4.0."),
+    ("cc-by-nc", "The audio is licensed under CC BY-NC 4.0."), ("cc-by-sa", "Content is licensed under CC BY-SA 4.0 unless noted."), ("cc0", "Dedicated to the public domain under CC0."),
+    ("gpl", "It is free software, licensed under the GNU General Public License version 2."), ("gpl", "License: GPL, version 3 or later."), ("lgpl", "This library is released under the GNU Lesser General Public License."),
+    ("mit", "This software is released under the MIT license."), ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("mpl", "Subject to the terms of the Mozilla Public License, version 2.0."), ("proprietary", "All rights reserved."),
+    (None, "permission is granted to copy"), (None, "The public was granted permission to enter the domain."), (None, "Copyright is a field of law."), (None, "He renewed his license and his warranty."),
+    (None, "An apache license plate was found."), (None, "The commons were creative places."), (None, "GNU is an animal."), (None, "Rights are reserved for those who ask."), (None, "licensed dealers only"),
+    (None, "a public license for the market"), (None, "MIT"), (None, "The license"), (None, "In general, public license offices close at noon."),
+]
+
+
+def test_licenses_on_unseen_notices():
+    seen = {t for texts in license.TEMPLATES.values() for t in texts} | set(license.BACKGROUND) | {t for _, t in license.HELD_OUT}
+    assert not seen & {t for _, t in UNSEEN}
+    said = [(family, license.model().predict(text)[0]) for family, text in UNSEEN]
+    right = sum(a == b for a, b in said if a)
+    assert right >= 0.9 * sum(a is not None for a, _ in said)
+    assert all(b is None for a, b in said if a is None)
+
+
+def test_a_column_named_like_the_copies_is_replaced(spark):
+    docs = spark.createDataFrame([(i, "text " * i, "s", "old") for i in range(1, 40)], "doc_id long, text string, source string, Copy string")
+    out = mixing.mix_sources(docs, {"s": 1.0})
+    assert out.columns == ["doc_id", "text", "source", "copy"] and dict(out.dtypes)["copy"] == "bigint"
+    rows = out.collect()
+    for i in {r.doc_id for r in rows}:
+        assert sorted(r["copy"] for r in rows if r.doc_id == i) == list(range(sum(r.doc_id == i for r in rows)))
+
+
+def test_mixing_draws_what_brute_force_draws(spark):
+    import hashlib
+
+    rows = docs_of(spark).select("doc_id", "text", "source").collect()
+    chars = {}
+    for r in rows:
+        chars[r.source] = chars.get(r.source, 0) + len(r.text or "")
+    goal, every = sum(c**mixing.POWER for c in chars.values() if c), sum(chars.values())
+    got = {}
+    for r in mixing.mix_sources(docs_of(spark).select("doc_id", "text", "source")).select("doc_id").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    for r in rows:
+        rate = round(chars[r.source] ** mixing.POWER / goal * every / chars[r.source], 9)
+        parts, draws = max(math.ceil(rate / mixing.MOST_MEAN), 1), 0
+        for k in range(1, parts + 1):
+            text = "\x1f".join([str(mixing.SEED), str(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest(), str(k)])
+            draws += brute_poisson(int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52, rate / parts)
+        assert got.get(r.doc_id, 0) == draws
