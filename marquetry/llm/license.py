@@ -4,9 +4,10 @@ Paragraphs are the lines of a text. Features are the distinct word one- to three
 that hold one of ``STEMS`` and occur in a notice of ``TEMPLATES``; a softmax regression
 over the licence families and one class for unknown is trained on variants of these
 notices and on prose that uses the same words (``BACKGROUND``). A temperature and the
-unknown class's offset are then calibrated on variants held out. A paragraph counts as
-a licence when its family's probability is ``SURE`` at least and it shares ``SHARE`` of
-the features of one of that family's templates, or of its own.
+unknown class's offset are then calibrated on other notices and other prose
+(``HELD_OUT``), whose sentences the fit never saw. A paragraph counts as a licence when
+its family's probability is ``SURE`` at least and it shares ``SHARE`` of the word grams,
+all of them, of one of that family's templates, or of its own where it is the shorter.
 
 Main path: DataFrame functions only. A document without a stem is left after a few
 substring searches; of the paragraphs that hold one, each distinct one is classified
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from marquetry.runtime import cut, lookup_join, read_table
 
 SURE = 0.5
-SHARE = 0.5
+SHARE = 0.55
 UNKNOWN = "unknown"
 STEMS = (
     "licens", "licenc", "copyright", "permission", "warrant", "redistribut", "gnu", "gpl", "apache", "mozilla",
@@ -126,6 +127,23 @@ BACKGROUND = [
     "In the public domain of knowledge, commons are shared by all.",
     "No warranty is given on used cars, and licensed repair shops know it.",
 ]
+#: For calibration only: (family or unknown, text).
+HELD_OUT = [
+    ("apache-2.0", "This library is licensed under the Apache License 2.0, see the LICENSE file."), ("apache-2.0", "License: Apache-2.0"),
+    ("bsd", "This package is distributed under the BSD 3-Clause License."), ("bsd", "Redistribution and use in source and binary forms are permitted."),
+    ("cc-by", "These slides are licensed under the Creative Commons Attribution 4.0 License."), ("cc-by", "Shared under CC BY 4.0."),
+    ("cc-by-nc", "Our photos are licensed under CC BY-NC 4.0."), ("cc-by-nc", "Available under a Creative Commons Attribution-NonCommercial License."),
+    ("cc-by-sa", "Articles are available under CC BY-SA 4.0."), ("cc-by-sa", "This page is licensed under a Creative Commons Attribution-ShareAlike License."),
+    ("cc0", "The data set is released under CC0 1.0."), ("gpl", "This tool is licensed under the GNU General Public License."), ("gpl", "License: GPL-3.0-or-later"),
+    ("gpl", "This plugin is released under the GPL, version 2."), ("lgpl", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("mit", "Our code is released under the MIT License."), ("mit", "License: MIT"), ("mit", "Copyright (c) the authors, MIT License."),
+    ("mpl", "The browser code is subject to the terms of the Mozilla Public License."), ("proprietary", "Copyright by the publisher, all rights reserved."),
+    (UNKNOWN, "Permission is granted to copy the key of the house."), (UNKNOWN, "The licensing board met in public and heard both parties."),
+    (UNKNOWN, "A copyright lawyer explained the rights of the widow."), (UNKNOWN, "General remarks on public life and creative commons rooms."),
+    (UNKNOWN, "He showed his fishing license and a copy of the permission."), (UNKNOWN, "The warranty on the engine was void."),
+    (UNKNOWN, "The land was redistributed under the terms of the law."), (UNKNOWN, "An apache attack helicopter landed near the public road."),
+    (UNKNOWN, "Students at MIT asked for a license to fly."), (UNKNOWN, "The domain of public affairs is licensed to nobody."),
+]
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -150,10 +168,12 @@ class Model:
         sets = [{g for g in grams_of(words_of(t)) if _stemmed(g)} for _, t in self.templates]
         self.vocabulary = sorted(set().union(*sets))
         index = {g: i for i, g in enumerate(self.vocabulary)}
-        self.sizes = [len(s) for s in sets]
-        self.inside = {g: [i for i, s in enumerate(sets) if g in s] for g in self.vocabulary}
+        whole = [grams_of(words_of(t)) for _, t in self.templates]
+        self.sizes = [len(s) for s in whole]
+        self.inside = {g: [i for i, s in enumerate(whole) if g in s] for g in sorted(set().union(*whole))}
         x, y = self._rows(random.Random(1), 12)
-        held_x, held_y = self._rows(random.Random(2), 4)
+        held_x = np.array([self._vector(words_of(t)) for _, t in HELD_OUT])
+        held_y = np.array([self.classes.index(f) for f, _ in HELD_OUT])
         weights, bias = self._fit(x, y, len(index))
         self.weights, self.bias = self._calibrate(weights, bias, held_x, held_y)
 
@@ -194,7 +214,7 @@ class Model:
         return w, b
 
     def _calibrate(self, w: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The temperature and unknown offset of least log loss on held-out variants."""
+        """The temperature and unknown offset of least log loss on held-out notices."""
         best = (np.inf, 1.0, 0.0)
         for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8):
             for offset in (-1.0, -0.5, 0.0, 0.5, 1.0):
@@ -208,19 +228,19 @@ class Model:
 
     def predict(self, text: str) -> tuple[str | None, float, float]:
         """Brute force over one paragraph: (family or None, probability, template share)."""
-        found = grams_of(words_of(text)) & set(self.vocabulary)
+        grams = grams_of(words_of(text))
+        found = grams & set(self.vocabulary)
         if not found:
             return None, 0.0, 0.0
         z = self.bias + sum(self.weights[self.vocabulary.index(g)] for g in found)
         p = self._softmax(z[None, :])[0]
         top = int(np.argmax(p))
         family = self.classes[top]
-        stems = sum(_stemmed(g) for g in grams_of(words_of(text)))
         share = 0.0
         for i, (f, _) in enumerate(self.templates):
             if f == family:
-                hits = sum(i in self.inside[g] for g in found)
-                share = max(share, hits / min(self.sizes[i], stems))
+                hits = sum(i in self.inside.get(g, ()) for g in grams)
+                share = max(share, hits / min(self.sizes[i], len(grams)))
         if family == UNKNOWN or round(float(p[top]), 6) < SURE or round(share, 6) < SHARE:
             return None, round(float(p[top]), 6), round(share, 6)
         return family, round(float(p[top]), 6), round(share, 6)
@@ -251,11 +271,9 @@ def classify_paragraphs(norms: DataFrame) -> DataFrame:
     """Distinct ``norm`` -> ``(norm, family, probability, share)`` of recognised ones."""
     m = model()
     spark = norms.sparkSession
-    # Both tables are constants of this module: some hundred rows, whatever the corpus.
-    vocabulary = spark.createDataFrame(
-        [(g, [float(v) for v in m.weights[i]], m.inside[g]) for i, g in enumerate(m.vocabulary)],
-        "gram string, weight array<double>, inside array<int>",
-    )
+    # Both tables are constants of this module: some thousand rows, whatever the corpus.
+    vocabulary = spark.createDataFrame([(g, [float(v) for v in m.weights[i]]) for i, g in enumerate(m.vocabulary)], "gram string, weight array<double>")
+    templates = spark.createDataFrame(list(m.inside.items()), "gram string, inside array<int>")
     words = F.split("norm", " ")
     n = F.size(words)
     grams = F.array_distinct(
@@ -268,8 +286,9 @@ def classify_paragraphs(norms: DataFrame) -> DataFrame:
             )
         )
     )
-    rows = norms.select("norm", F.filter(grams, _holds_stem).alias("grams")).withColumn("stems", F.size("grams"))
-    hits = rows.select("norm", "stems", F.explode("grams").alias("gram")).join(F.broadcast(vocabulary), "gram")
+    rows = cut(norms.select("norm", grams.alias("grams")).withColumn("own", F.size("grams")))
+    every = rows.select("norm", "own", F.explode("grams").alias("gram"))
+    hits = every.join(F.broadcast(vocabulary), "gram")
     by_class = hits.select("norm", F.posexplode("weight").alias("k", "w")).groupBy("norm", "k").agg(F.sum("w").alias("w"))
     bias = F.array(*[F.lit(float(b)) for b in m.bias])
     scored = by_class.select("norm", "k", (F.col("w") + F.get(bias, "k")).alias("z")).groupBy("norm").agg(
@@ -283,8 +302,9 @@ def classify_paragraphs(norms: DataFrame) -> DataFrame:
     sizes = F.array(*[F.lit(x) for x in m.sizes])
     owners = F.array(*[F.lit(f) for f, _ in m.templates])
     shares = (
-        hits.select("norm", "stems", F.explode("inside").alias("t")).groupBy("norm", "stems", "t").agg(F.count(F.lit(1)).alias("hits"))
-        .select("norm", F.get(owners, "t").alias("family"), (F.col("hits") / F.least(F.get(sizes, "t"), F.col("stems"))).alias("share"))
+        every.join(F.broadcast(templates), "gram").select("norm", "own", F.explode("inside").alias("t")).groupBy("norm", "own", "t")
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .select("norm", F.get(owners, "t").alias("family"), (F.col("hits") / F.least(F.get(sizes, "t"), F.col("own"))).alias("share"))
         .groupBy("norm", "family").agg(F.round(F.max("share"), 6).alias("share"))
     )
     return ranked.join(shares, ["norm", "family"]).filter(F.col("share") >= SHARE).select("norm", "family", "probability", "share")
