@@ -14,7 +14,7 @@ from marquetry.operators import graph as G
 from marquetry.operators import similarity as S
 from marquetry.operators import textrules as R
 from marquetry.plans.adapters import EDGES_SQL, HIERARCHY_SQL, NODES_SQL, REACH_SQL, edges, hierarchy, nodes, seeds
-from marquetry.runtime import read_table
+from marquetry.runtime import cut, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,7 @@ SELECT n.id, n.name, CASE WHEN n.id IN (SELECT id FROM test) THEN 'test_only_cod
 FROM n WHERE n.id NOT IN (SELECT id FROM prod)""")
 def dead_parts(spark, sf):
     """Reachability, its complement, classification: the flagship query."""
-    e, n = edges(spark, sf), nodes(spark, sf)
+    e, n = cut(edges(spark, sf)), nodes(spark, sf)  # walked and counted: made once
     found = G.reach(e, seeds(spark, sf))
     alive, tested = found.filter("kind = 'production'").select("id"), found.filter("kind = 'test'").select("id", F.lit(True).alias("t"))
     called = e.select(F.col("dst").alias("id"), F.lit(True).alias("c")).distinct()
