@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquetry.llm.tokenizer import give_back, slices
 from marquetry.runtime import ensure_checkpoint_dir, read_table
 
 MARKERS = ("<|turn|>", "<|sep|>", "<|end|>")
@@ -100,8 +101,7 @@ def format_conversations(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 3, most_rows=1024):
                 roles, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
                 made = [codec.segment(r or "", t or "", r == learn_role) for r, t in zip(roles, texts, strict=True)]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in made])]).astype(np.int32))
@@ -144,6 +144,7 @@ def read_conversations(formatted: DataFrame, path: str, pattern: str) -> DataFra
                      pa.array([r[3] for r in rows], pa.int64())],
                     ["conv_id", "seq", "role", "text", "loss_text", "formatted_chars"],
                 )
+            give_back()
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.select("conv_id", "seq", "tokens", "mask").mapInArrow(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -209,6 +210,16 @@ class WordCodec:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names), pa.scalar(" ", pa.large_string()))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task, or runs
+    another kind of task, should not hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _bounds(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -219,14 +230,16 @@ def _bounds(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[
         at = end
 
 
-def text_slices(texts: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.Array]:
-    """Parts of some ``most_bytes`` of text, or one text."""
-    return (texts.slice(at, n) for at, n in _bounds(texts, most_bytes, most_rows))
+def text_slices(texts: pa.Array, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.Array]:
+    """Parts of some ``most_bytes`` of text, or one text; freed memory is given back after."""
+    yield from (texts.slice(at, n) for at, n in _bounds(texts, most_bytes, most_rows))
+    give_back()
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The same of a batch, by the texts in ``column``."""
-    return (batch.slice(at, n) for at, n in _bounds(batch.column(column), most_bytes, most_rows))
+    yield from (batch.slice(at, n) for at, n in _bounds(batch.column(column), most_bytes, most_rows))
+    give_back()
 
 
 _CODECS: dict[str, WordCodec] = {}
