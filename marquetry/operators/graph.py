@@ -256,11 +256,20 @@ def _scc(pairs, starts):
     return out
 
 
+def _without(open_: DataFrame, live: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that are left when some nodes go."""
+    for end in ("src", "dst"):
+        live = live.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+    return cut(open_.join(gone.select("id"), "id", "left_anti")), cut(live.select("src", "dst"))
+
+
 def strongly_connected(nodes: DataFrame, edges: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(id, component)``, named by its smallest node.
 
-    Large graphs: forward and backward colouring. Each round, the smallest open node
-    that reaches a node colours it; nodes that reach their colour back form components.
+    Large graphs: nodes without an open caller or callee are components of their own and go
+    first, from both ends of every chain at once. What is left is coloured: the smallest
+    open node that reaches a node colours it, and nodes that reach their colour back form a
+    component.
     """
     pairs, ids = cut(edges.select("src", "dst").distinct()), cut(nodes.select("id").distinct())
     if _fits(pairs, ids, local_edges):
@@ -272,6 +281,12 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, *, local_edges: int =
         .join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     )
     while open_.limit(1).count():
+        inner = live.select(F.col("src").alias("id")).intersect(live.select(F.col("dst").alias("id")))
+        alone = cut(open_.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if alone.limit(1).count():
+            done = [*done, alone] if len(done) < _FILES else [cut(_all(done)), alone]
+            open_, live = _without(open_, live, alone)
+            continue
         colour = cut(open_.select("id", F.col("id").alias("c")))
         while True:
             push = live.join(colour.select(F.col("id").alias("src"), "c"), "src").select(F.col("dst").alias("id"), "c")
@@ -287,11 +302,7 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, *, local_edges: int =
         found = reach(back, colour.filter("id = c").select("id"), local_edges=0).select("id")
         settled = cut(colour.join(found, "id", "left_semi").select("id", F.col("c").alias("component")))
         done = [*done, settled] if len(done) < _FILES else [cut(_all(done)), settled]
-        open_ = cut(open_.join(settled.select("id"), "id", "left_anti"))
-        live = cut(
-            live.join(open_.select(F.col("id").alias("src")), "src", "left_semi")
-            .join(open_.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-        )
+        open_, live = _without(open_, live, settled)
     return _all(done) if done else ids.select("id", F.col("id").alias("component"))
 
 
