@@ -18,7 +18,7 @@ Edge cases: null labels, null, zero or empty vectors, and null or non-finite com
 link with nothing and form components of their own; vectors of different length are
 not compared; a null id is kept, counted as a link of others and never names a
 component; repeated rows count each; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; ids at or below -2^62 are reserved, as they stand in for null ones.
 """
 
 from __future__ import annotations

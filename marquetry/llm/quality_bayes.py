@@ -78,7 +78,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, id_col: str, text_col: str, most: int) -> DataFrame:
-    """``(text, y)`` of at most ``most`` labelled documents, picked by a hash of their id."""
+    """``(id, text, y)`` of at most ``most`` labelled documents, picked by a hash of their id;
+    of rows that share an id the text with the smallest hash stands for all."""
     picked = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
         .groupBy("doc_id").agg(F.max(target).alias("y"))
@@ -87,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, *, id_col:
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # At most `most` rows of two integers: safe to broadcast.
     joined = named.join(F.broadcast(picked), F.col("id") == F.col("doc_id"))
-    return joined.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    return joined.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"), F.max("y").alias("y")).select("id", "m.text", "y")
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> np.ndarray | None:
@@ -101,7 +102,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     rows = sample.select(F.col("id").cast("string").alias("id"), "text", F.col("y").cast("int").alias("y")).mapInArrow(
         run, "id string, x array<double>, y int"
-    ).limit(2 * most).collect()
+    ).collect()  # one short row a labelled document, `most` at most
     rows.sort(key=lambda r: (r.id or "", r.x))
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():

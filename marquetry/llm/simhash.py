@@ -16,7 +16,8 @@ components of what is left are found on fingerprints' smallest ids.
 Edge cases: a null or empty text has fingerprint zero and links like any other; a
 document with a null id is returned with the component of its fingerprint (null when
 no other id is reached) and never names one; repeated rows stay repeated; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; ids at or below -2^62 are
+reserved, as they stand in for null ones.
 """
 
 from __future__ import annotations

@@ -191,7 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         ]
         return pa.array([" ".join(f"{k}:{v:.9g}" for k, v in sorted(r.items())) for r in rows], pa.string())
 
-    got = sorted((r.x, r.y) for r in sample.select(sparse("text").alias("x"), "y").limit(2 * most).collect())
+    got = sorted((r.x, r.y) for r in sample.select(sparse("text").alias("x"), "y").collect())  # `most` rows at most
     rows = [({int(k): float(v) for k, v in (p.split(":") for p in x.split())}, y) for x, y in got]
     totals = [sum(v for k, v in x.items() if names[k][0] == "w" or names[k][0] == "5") for x, _ in rows]
     some = np.array([t for t, (_, y) in zip(totals, rows, strict=True) if y]) if rows else np.zeros(1)
