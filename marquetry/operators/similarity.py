@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import cosine, shingles, words
+from marquetry.operators.cells import compare_cells
 from marquetry.operators.components import connected_components
 from marquetry.runtime import BROADCAST_ROWS, cut, lookup_join, running_total
 
@@ -170,11 +174,67 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, *, threshold: float, by: str, id_col: str, vec_col: str) -> DataFrame:
-    """Pairs of one block ``by`` at or above the threshold, exactly. Blocks bound the work."""
-    v = vectors.select(F.col(by).alias("k"), F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
-    x, y = v.alias("x"), v.alias("y")
-    joined = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.i") < F.col("y.i")))
-    return joined.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """Pairs of one block ``by`` at or above the threshold, exactly.
+
+    Above a threshold of zero, pairs are found by matrix products over cells of bounded
+    size, with a slack for their rounding; those found are computed again in the order of
+    ``functions.text.cosine``.
+    """
+    v = vectors.select(F.col(by).alias("k"), F.col(id_col).alias("i"), F.col(vec_col).alias("v"))
+    if threshold <= 0:  # vectors without a direction have a cosine of zero, so all pairs count
+        x, y = v.withColumn("v", F.col("v").cast("array<double>")).alias("x"), v.withColumn("v", F.col("v").cast("array<double>")).alias("y")
+        joined = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.i") < F.col("y.i")))
+        return joined.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+    def close(rows: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+        arrays = rows.column("v").combine_chunks()
+        sizes = np.diff(arrays.offsets.to_numpy())
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == size)
+            flat = arrays.take(pa.array(at)).flatten().cast(pa.float64())
+            m = flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+            if flat.null_count:  # a vector with a null component has no cosine
+                solid = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, size).any(axis=1)
+                at, m = at[solid], m[solid]
+            yield from _close_cosines(rows.column("i").combine_chunks(), at, m, first, threshold)
+
+    kind = v.schema["i"].dataType.simpleString()
+    solid = v.filter("i is not null and v is not null")
+    return compare_cells(solid, "k", "i", close, f"a {kind}, b {kind}, similarity double", cell=COSINE_CELL)
+
+
+#: Rows of a block of vectors; and rows that are multiplied with a block at a time.
+COSINE_CELL, STRIP = 4096, 256
+
+
+def _close_cosines(ids: pa.Array, at: np.ndarray, m: np.ndarray, first: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows ``at`` of a cell with vectors ``m``; sums run from left to right."""
+    norms = np.sqrt(np.cumsum(m * m, axis=1)[:, -1])
+    at, m, norms = at[norms != 0], m[norms != 0], norms[norms != 0]
+    with np.errstate(all="ignore"):
+        unit = m / norms[:, None]
+    half = int(np.searchsorted(at, first))
+    for begin in range(0, half if first else len(m), STRIP):
+        end = min(begin + STRIP, half) if first else begin + STRIP
+        low = half if first else begin + 1
+        with np.errstate(all="ignore"):
+            # Not below the slack: what is not a number is looked at again, too.
+            x, y = np.nonzero(~(unit[begin:end] @ unit[low:].T < threshold - 1e-6))
+        x, y = x + begin, y + low
+        if not first:
+            x, y = x[x < y], y[x < y]
+        for part in range(0, len(x), 65_536):
+            p, q = x[part : part + 65_536], y[part : part + 65_536]
+            with np.errstate(all="ignore"):
+                scale = norms[p] * norms[q]
+                same = np.cumsum(m[p] * m[q], axis=1)[:, -1] / scale
+            # As in Spark, what is not a number is above all numbers.
+            same = np.where(np.isnan(scale) | (scale > 0), np.maximum(np.fmin(same, 1.0), -1.0), 0.0)
+            keep = same >= threshold
+            a, b = ids.take(pa.array(at[p[keep]])), ids.take(pa.array(at[q[keep]]))
+            ahead, apart = pc.less(a, b), pc.not_equal(a, b)
+            pairs = [pc.if_else(ahead, a, b), pc.if_else(ahead, b, a), pa.array(same[keep])]
+            yield pa.RecordBatch.from_arrays(pairs, ["a", "b", "similarity"]).filter(apart)
 
 
 def tf_idf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
