@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import KEYWORDS, code_tokens, hamming, normalise_token
+from marquetry.operators.cells import compare_cells
 from marquetry.operators.similarity import cross_language_pairs, hash_groups, interval_overlaps, lsh_pairs, minhash
 from marquetry.runtime import cut
 from marquetry.sources.code import scope_end as _scope_end
@@ -60,19 +61,18 @@ def code_simhash(functions: DataFrame) -> DataFrame:
     return rows.select("id", sketch("t").alias("simhash"), "line_count")
 
 
-#: Bits up to which pigeonhole blocks have four bits at least; and rows of a cell beyond.
-PIGEONHOLE_BITS = 15
-CELL = 8192
+#: Bits up to which pigeonhole blocks are ten bits long at least, so that they select.
+PIGEONHOLE_BITS = 5
 
 
 def hamming_pairs(prints: DataFrame, bits: int) -> DataFrame:
     """Pairs ``(a, b, distance)`` of ``(id, simhash)`` at most ``bits`` apart, exactly.
 
     Equal prints are collapsed before and come back as pairs with their smallest id. Up to
-    15 bits, of ``bits + 1`` blocks one is equal (pigeonhole). Above, such blocks are too
-    short to select anything: prints are dealt over blocks of rows, and each pair of blocks
-    is a cell whose distances are counted eight bytes at a time. That work grows with the
-    square of the distinct prints, in cells of bounded size.
+    5 bits, of ``bits + 1`` blocks one is equal (pigeonhole). Above, such blocks are too
+    short to select much (at 15 bits the blocks alone make every pair): each pair of blocks
+    of rows is a cell whose distances are counted eight bytes at a time. That work grows
+    with the square of the distinct prints, in cells of bounded size.
     """
     groups = prints.groupBy("simhash").agg(F.min("id").alias("rep"))
     same = prints.join(groups, "simhash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
@@ -95,17 +95,8 @@ def _hamming_blocks(groups: DataFrame, bits: int) -> DataFrame:
 
 
 def _hamming_cells(groups: DataFrame, bits: int) -> DataFrame:
-    groups = cut(groups.filter("rep is not null"))
-    blocks = max(1, -(-groups.count() // CELL))
-    block = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks))
-    spread = groups.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = spread.select((low * blocks + high).alias("cell"), "block", "rep", "simhash")
-
-    def close(rows: pa.Table) -> pa.RecordBatch:
-        block, rep = rows.column("block").to_numpy(), rows.column("rep").to_numpy()
-        prints = rows.column("simhash").to_numpy().view(np.uint64)
-        first = int(np.searchsorted(block, block[-1]))  # 0 in a cell of one block
+    def close(rows: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+        rep, prints = rows.column("rep").to_numpy(), rows.column("simhash").to_numpy().view(np.uint64)
         found = []
         for i in range(first or len(prints)):
             begin = first or i + 1
@@ -114,22 +105,10 @@ def _hamming_cells(groups: DataFrame, bits: int) -> DataFrame:
             found.append((np.full(len(hit), i), hit + begin, apart[hit]))
         one, two, apart = (np.concatenate(x) for x in zip(*found, strict=True))
         a, b = np.minimum(rep[one], rep[two]), np.maximum(rep[one], rep[two])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "distance"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, now]) if held is not None else now
-            ids, begin = held.column("cell").to_numpy(), 0
-            for end in (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist():
-                yield close(held.slice(begin, end - begin))
-                begin = end
-            held = held.slice(begin)
-        if held is not None and held.num_rows:
-            yield close(held)
-
-    return dealt.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long, distance int")
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "distance"])
+
+    rows = groups.filter("rep is not null and simhash is not null").select(F.lit(0).alias("all"), "rep", "simhash")
+    return compare_cells(rows, "all", "rep", close, "a long, b long, distance int")
 
 
 def file_clones(files: DataFrame, *, threshold: float = 0.8) -> DataFrame:

@@ -391,3 +391,39 @@ def test_sketch_algebra_and_running_totals(spark):
     rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"))
     assert all(r.t == sum(i % 7 for i in range(r.id)) for r in running_total(rows, ["id"], F.col("v"), "t").collect())
     assert running_total(rows.limit(0), ["id"], F.col("v"), "t").count() == 0
+
+
+def test_pairs_of_vectors_and_fingerprints_are_compared_in_cells(spark, monkeypatch):
+    """Cells over several blocks find what pairwise loops find; no join makes all pairs."""
+    import math
+
+    from marquetry.operators import cells, similarity
+
+    monkeypatch.setattr(cells, "CELL", 9)
+    monkeypatch.setattr(similarity, "COSINE_CELL", 7)
+    rng = random.Random(9)
+    rows = [(i, i % 3 if i % 11 else None, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(60, 0, [0.0] * 4), (61, 0, None), (62, 0, [1.0, None, 0.0, 0.0]), (63, 0, [1.0, 2.0]), (64, 0, [2.0, 4.0]), (65, 1, rows[1][2])]
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or None in x or None in y or not any(x) or not any(y):
+            return 0.0
+        return sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x)) / math.sqrt(sum(q * q for q in y))
+
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] is not None and a[1] == b[1] and cosine(a[2], b[2]) >= 0.35}
+    df = spark.createDataFrame(rows, "i long, k int, v array<float>")
+    got = similarity.cosine_pairs(df, threshold=0.35, by="k", id_col="i", vec_col="v")
+    found = [(r.a, r.b) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert all(abs(r.similarity - cosine(rows[r.a][2], rows[r.b][2])) < 1e-6 for r in got.collect())
+    assert similarity.cosine_pairs(df.limit(0), threshold=0.35, by="k", id_col="i", vec_col="v").count() == 0
+
+    prints = [(i, rng.getrandbits(64) - 2**63) for i in range(40)] + [(40 + i, (rng.getrandbits(6) << 20)) for i in range(10)]
+    for bits in (4, 15):
+        near = C.hamming_pairs(spark.createDataFrame(prints, "id long, simhash long"), bits)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert bits < 15 or "bit_count" not in plan  # distances are no filter on a join of short blocks
+        least = {h: min(i for i, g in prints if g == h) for _, h in prints}
+        want = {(min(x, y), max(x, y)) for (g, x), (h, y) in itertools.combinations(least.items(), 2) if (g ^ h).bit_count() <= bits}
+        want |= {(least[h], i) for i, h in prints if least[h] != i}
+        assert {(r.a, r.b) for r in near.collect()} == {p for p in want}
