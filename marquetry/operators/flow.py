@@ -216,6 +216,7 @@ def block_id(func, block):
 def slice_blocks(pdg: DataFrame, criteria: DataFrame, *, backward: bool = True, var: str | None = None) -> DataFrame:
     """``(func, block)`` in the slice of ``criteria(func, block)``."""
     e = pdg if var is None else pdg.filter((F.col("kind") == "control") | (F.col("var") == var))
+    e, criteria = cut(e.select("func", "src", "dst")), cut(criteria.select("func", "block"))  # walked and named: made once
     a, b = block_id(F.col("func"), F.col("src")), block_id(F.col("func"), F.col("dst"))
     edges = e.select((b if backward else a).alias("src"), (a if backward else b).alias("dst"))
     names = e.select("func", F.col("src").alias("block")).union(e.select("func", "dst")).union(criteria.select("func", "block")).distinct().withColumn("id", block_id(F.col("func"), F.col("block")))

@@ -427,3 +427,24 @@ def test_pairs_of_vectors_and_fingerprints_are_compared_in_cells(spark, monkeypa
         want = {(min(x, y), max(x, y)) for (g, x), (h, y) in itertools.combinations(least.items(), 2) if (g ^ h).bit_count() <= bits}
         want |= {(least[h], i) for i, h in prints if least[h] != i}
         assert {(r.a, r.b) for r in near.collect()} == {p for p in want}
+
+
+def test_graphs_are_walked_in_pieces_and_by_rounds(spark, monkeypatch):
+    """One task, weakly connected pieces and rounds agree; a part of the pieces may be too large."""
+    monkeypatch.setattr(G, "CHUNK", 6)
+    monkeypatch.setattr(G, "SOURCES", 4)
+    pairs = [(10 * k + a, 10 * k + b) for k in range(4) for a, b in random_graph(spark, 9, 11, k)[0]] + [(90, 91), (95, 95)]
+    e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(99)
+    seeds = spark.createDataFrame([(0, "x"), (3, "y"), (12, "x"), (25, "y"), (90, "x"), (97, "y")], "id long, kind string")
+    for run in (
+        lambda **o: G.reach(e, seeds, **o), lambda **o: G.strongly_connected(n, e, **o),
+        lambda **o: G.pagerank(n, e, rounds=7, **o).select("id", F.round("score", 12)),
+    ):
+        want = sorted(map(tuple, run().collect()))
+        assert all(sorted(map(tuple, run(local_edges=0, piece_edges=most).collect())) == want for most in (0, 10, 99))
+    want = {r.id: r.score for r in G.betweenness(n, e).collect()}
+    assert max(want.values()) > 0
+    # Larger than any task may hold: pieces, rounds, and rounds over halved sources.
+    for options in ({"piece_edges": 99}, {"piece_edges": 10}, {"piece_edges": 0, "most_states": 60}):
+        got = {r.id: r.score for r in G.betweenness(n, e, most_edges=1, **options).collect()}
+        assert got == pytest.approx(want)
