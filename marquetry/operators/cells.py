@@ -26,17 +26,19 @@ def compare_cells(rows: DataFrame, by: str, spread: str, compare: Callable, sche
     whose rows meet each other). Rows that are null in ``by`` meet none. The work grows
     with the square of a group, in cells of bounded size.
     """
+    if {"block", "cell", "other", "blocks", "start"} & set(rows.columns):
+        raise ValueError("block, cell, other, blocks and start are columns of the cells")
     cell = cell or CELL
     rows = cut(rows.filter(F.col(by).isNotNull()))
     blocks = F.ceil(F.col("n") / cell).cast("long")
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, blocks.alias("blocks"))
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, "n", blocks.alias("blocks"))
     sizes = cut(running_total(counts, [by], F.col("blocks") * F.col("blocks"), "start"))
-    total = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0]
+    work = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.sum(F.col("n").cast("double") * F.col("n"))).first()
     block = F.pmod(F.xxhash64(F.lit(3), spread), F.col("blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     # Dealt anew before they are multiplied, as few files may hold all rows.
     even = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    spread_out = lookup_join(even, sizes, [by], how="inner").withColumn("block", block).withColumn("other", every)
+    spread_out = lookup_join(even, sizes.drop("n"), [by], how="inner").withColumn("block", block).withColumn("other", every)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     dealt = spread_out.withColumn("cell", F.col("start") + low * F.col("blocks") + high).drop("start", "blocks", "other")
 
@@ -58,5 +60,6 @@ def compare_cells(rows: DataFrame, by: str, spread: str, compare: Callable, sche
             yield from close(held)
 
     # A set number of tasks: the planner would join cells by their bytes, not by their work.
-    tasks = int(min(max(total or 1, 1), TASKS))
+    least = max(rows.sparkSession.sparkContext.defaultParallelism, 4 * (work[1] or 0) / cell**2)
+    tasks = int(max(min(work[0] or 1, least, TASKS), 1))
     return dealt.repartition(tasks, "cell").sortWithinPartitions("cell", "block").mapInArrow(run, schema)

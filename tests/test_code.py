@@ -448,3 +448,20 @@ def test_graphs_are_walked_in_pieces_and_by_rounds(spark, monkeypatch):
     for options in ({"piece_edges": 99}, {"piece_edges": 10}, {"piece_edges": 0, "most_states": 60}):
         got = {r.id: r.score for r in G.betweenness(n, e, most_edges=1, **options).collect()}
         assert got == pytest.approx(want)
+
+
+def test_blocks_of_a_file_are_compared_in_cells(spark, monkeypatch):
+    """A pair is rated once, not once a shared word, also over several cells and vocabularies."""
+    from marquetry.operators import textrules
+
+    monkeypatch.setattr(textrules, "BLOCKS", 5)
+    monkeypatch.setattr(textrules, "VOCABULARY", 4)
+    rng = random.Random(3)
+    rows = [(f, b, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(9)))) for f in (1, 2) for b in range(14)] + [(1, 20, None), (None, 1, "a b"), (3, 1, "a")]
+    bags = {(f, b): set((t or "").split()) for f, b, t in rows if f}
+    want = {(x[0], x[1], y[1]) for x, y in itertools.combinations(sorted(bags), 2) if x[0] == y[0] and bags[x] | bags[y] and len(bags[x] & bags[y]) / len(bags[x] | bags[y]) >= 0.4}
+    found = textrules.block_clones(spark.createDataFrame(rows, "file long, block long, text string"), threshold=0.4)
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.file, r.a, r.b) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert all(abs(r.similarity - len(bags[r.file, r.a] & bags[r.file, r.b]) / len(bags[r.file, r.a] | bags[r.file, r.b])) < 1e-12 for r in found.collect())
