@@ -465,3 +465,31 @@ def test_blocks_of_a_file_are_compared_in_cells(spark, monkeypatch):
     got = [(r.file, r.a, r.b) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert all(abs(r.similarity - len(bags[r.file, r.a] & bags[r.file, r.b]) / len(bags[r.file, r.a] | bags[r.file, r.b])) < 1e-12 for r in found.collect())
+
+
+def test_grams_are_hashed_in_their_row_and_counted_in_buckets(spark, monkeypatch):
+    """Sets of grams are found without moving them; signatures are made once."""
+    from marquetry.operators import similarity as S
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(2, 12))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "a b c a b"), (41, None), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        if i is not None:
+            sets.setdefault(i, set()).update(" ".join(w[j : j + 3]) for j in range(len(w) - 2))
+    codes = S.document_codes(docs)
+    assert {r.doc_id: len(r.codes) for r in codes.collect()} == {i: len(g) for i, g in sets.items() if g}
+    assert "Generate" not in codes._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert {(r.a, r.b) for r in S.overlap_pairs(codes, threshold=0.5).collect()} == want
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    grams = S.document_grams(docs.filter("doc_id is not null").filter("doc_id <> 3"))
+    most = int(sum(1 for i, g in sets.items() if g and i != 3) * 0.3)
+    df = {}
+    for i, g in sets.items():
+        for x in g if i != 3 else ():
+            df[x] = df.get(x, 0) + 1
+    assert {r.gram: r.df for r in S.stop_grams(grams, share=0.3).collect()} == {x: c for x, c in df.items() if c > most}
