@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.text import cosine, shingles, words
 from marquetry.operators.cells import compare_cells
 from marquetry.operators.components import connected_components
+from marquetry.operators.terms import parts, term_counts
 from marquetry.runtime import BROADCAST_ROWS, cut, lookup_join, running_total
 
 
@@ -267,17 +268,80 @@ def _close_cosines(ids: pa.Array, at: np.ndarray, m: np.ndarray, first: int, thr
             yield pa.RecordBatch.from_arrays(pairs, ["a", "b", "similarity"]).filter(apart)
 
 
-def tf_idf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tf_idf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 * BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, term, weight)``: ``(1 + ln tf)(ln((1 + n) / (1 + df)) + 1)``, L2-normed.
-    Terms of one letter are left out."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(text_col))).alias("term")).filter(F.length("term") > 1)
-    tf = cut(terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n = docs.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    Terms of one letter are left out.
+
+    Words are counted and weighed inside their row: up to ``limit`` frequent terms go to all
+    tasks, and only the rows of the rarer terms move, to meet their df and then their document.
+    Rows of one id are one document; they move by term, as null ids do.
+    """
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind, n = text.schema["doc_id"].dataType.simpleString(), docs.count()
+    repeated = cut(text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id", F.lit(True).alias("again")))
+    tf = None
+    if repeated.limit(1).count():
+        marked = lookup_join(text, repeated, ["doc_id"])
+        text, many = marked.filter("again is null").drop("again"), marked.filter("again")
+        terms = many.select("doc_id", F.explode(words(F.col("text"))).alias("term")).filter(F.length("term") > 1)
+        tf = cut(terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    text = text.withColumn("text", F.lower("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            _, code, _, names = term_counts(part.column("text"), least=2)
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(np.bincount(code, minlength=len(names)))], ["term", "n"])
+
+    counts = text.select("text").mapInArrow(count, "term string, n long")
+    if tf is not None:
+        counts = counts.unionByName(tf.select("term", F.lit(1).cast("long").alias("n")))
+    df = cut(counts.groupBy("term").agg(F.sum("n").alias("df")))
+
+    # Terms with a df of as many bits go together to all tasks, or move.
+    held, low = 0, None
+    sizes = df.groupBy(F.length(F.bin("df")).alias("bits")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bits")).collect()
+    for bits, size in sizes:
+        held += size
+        if held > limit:
+            break
+        low = 1 << (bits - 1)
+    frequent = df.filter(F.col("df") >= low if low else F.lit(False)).toArrow().combine_chunks()
+    known = pa.concat_arrays(frequent.column("term").chunks or [pa.array([], pa.string())]).cast(pa.large_string())
+    idf = np.log((1 + n) / (1 + frequent.column("df").to_numpy())) + 1
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            row, code, tf, names = term_counts(part.column("text"), least=2)
+            keep = pc.is_null(pc.index_in(names, value_set=known)).to_numpy(zero_copy_only=False)[code]
+            found = [part.column("doc_id").take(pa.array(row[keep])), names.take(pa.array(code[keep])).cast(pa.string()), pa.array(tf[keep])]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", "term", "tf"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            row, code, tf, names = term_counts(part.column("text"), least=2)
+            at = pc.fill_null(pc.index_in(names, value_set=known), -1).to_numpy()[code]
+            row, code, tf, at = (x[at >= 0] for x in (row, code, tf, at))
+            w, terms = (1 + np.log(tf)) * idf[at], names.take(pa.array(code)).cast(pa.string())
+            if "rare" in part.schema.names:
+                moved, owner = part.column("rare").flatten(), pc.list_parent_indices(part.column("rare")).to_numpy()
+                row, w = np.concatenate([row, owner]), np.concatenate([w, moved.field("w").to_numpy()])
+                terms = pa.concat_arrays([terms, moved.field("term").cast(pa.string())])
+            norm = np.sqrt(np.bincount(row, w * w, minlength=len(part)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), terms, pa.array(w / norm[row])], ["doc_id", "term", "weight"])
+
     weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    raw = lookup_join(tf, df, ["term"], limit=4 * BROADCAST_ROWS).select("doc_id", "term", weight.alias("w"))
+    whole = text
+    if held > limit:
+        moved = text.mapInArrow(rare, f"doc_id {kind}, term string, tf long")
+        met = moved.join(df.filter(F.col("df") < low) if low else df, "term")
+        listed = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("rare"))
+        whole = text.join(listed, "doc_id", "left")
+    out = whole.mapInArrow(weigh, f"doc_id {kind}, term string, weight double")
+    if tf is None:
+        return out
+    raw = lookup_join(tf, df, ["term"], limit=limit).select("doc_id", "term", weight.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+    return out.unionByName(raw.select("doc_id", "term", (F.col("w") / norm).alias("weight")))
 
 
 def interval_overlaps(spans: DataFrame, *, slack: int = 0, width: int = 64) -> DataFrame:

@@ -243,7 +243,9 @@ r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documen
 z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM r GROUP BY 1)
 SELECT doc_id, term, round(w / z, 7) AS weight FROM r JOIN z USING (doc_id)""")
 def tf_idf(spark, sf):
-    return S.tf_idf(read_table(spark, sf, "documents")).select("doc_id", "term", F.round("weight", 7).alias("weight"))
+    # The SQL counts the terms of texts without an id, and joins their rows away.
+    weights = S.tf_idf(read_table(spark, sf, "documents")).filter("doc_id is not null")
+    return weights.select("doc_id", "term", F.round("weight", 7).alias("weight"))
 
 
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity

@@ -493,3 +493,36 @@ def test_grams_are_hashed_in_their_row_and_counted_in_buckets(spark, monkeypatch
         for x in g if i != 3 else ():
             df[x] = df.get(x, 0) + 1
     assert {r.gram: r.df for r in S.stop_grams(grams, share=0.3).collect()} == {x: c for x, c in df.items() if c > most}
+
+
+def test_terms_are_weighed_in_their_row(spark):
+    """Frequent terms move no row, rarer ones theirs only; repeated and null ids are whole."""
+    import math
+    import re
+
+    from marquetry.operators import similarity as S
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "Ef", "g", "h_1", f"only{i}", f"few{i % 5}"]) for _ in range(rng.randrange(0, 30)))) for i in range(60)]
+    rows += [(3, "ab zz"), (3, None), (90, None), (91, ""), (92, "a-b É"), (93, "Kelvin É9x"), (None, "ab null"), (None, "null"), (94, "end"), (95, "start")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    tf = {}
+    for i, t in rows:
+        for w in re.findall("[a-z0-9_]+", (t or "").lower()):
+            if len(w) > 1:
+                tf.setdefault(i, {}).setdefault(w, []).append(1)
+    df = {}
+    for found in tf.values():
+        for w in found:
+            df[w] = df.get(w, 0) + 1
+    want = {}
+    for i, found in tf.items():
+        raw = {w: (1 + math.log(len(c))) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, c in found.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        want |= {(i, w): x / norm for w, x in raw.items()}
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    for limit in (0, 8, 10**6):
+        got = S.tf_idf(docs, limit=limit).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.term): r.weight for r in got} == pytest.approx(want, rel=1e-12)
+    assert "Exchange" not in plan(S.tf_idf(docs.filter("doc_id <> 3")))
+    assert S.tf_idf(docs.limit(0)).count() == 0
