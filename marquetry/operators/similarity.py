@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.text import cosine, shingles, words
 from marquetry.operators.cells import compare_cells
 from marquetry.operators.components import connected_components
-from marquetry.operators.terms import parts, term_counts
+from marquetry.operators.terms import distinct_grams, parts, term_counts, theta_sketches
 from marquetry.runtime import BROADCAST_ROWS, cut, lookup_join, running_total
 
 
@@ -431,6 +431,29 @@ def distinct_sketches(grams: DataFrame, *, by: str = "doc_id", lg_k: int = 12) -
     return built.withColumn("distinct", F.expr("theta_sketch_estimate(theta)"))
 
 
+def document_sketches(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_col: str = "text", lg_k: int = 12) -> DataFrame:
+    """``(doc_id, words, grams, theta, distinct)``: how many distinct words and word k-grams each
+    text has, and a theta sketch of its grams as ``distinct_sketches`` makes it, all inside its
+    row, so that no gram moves. Texts without a gram are left out; rows of one id stay apart,
+    and ``theta_union_agg`` merges their sketches."""
+    text = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, size=GRAM_PART):
+            row, hashes, words = distinct_grams(part.column("text"), k)
+            n = np.bincount(row, minlength=len(part))
+            made = [part.column("doc_id"), pa.array(words), pa.array(n), theta_sketches(row, hashes, len(part), lg_k)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "words", "grams", "theta"]).filter(pa.array(n > 0))
+
+    kind = text.schema["doc_id"].dataType.simpleString()
+    built = text.mapInArrow(sketch, f"doc_id {kind}, words long, grams long, theta binary")
+    return built.withColumn("distinct", F.expr("theta_sketch_estimate(theta)"))
+
+
+#: Bytes of text whose grams are sketched at a time, or one text.
+GRAM_PART = 2 << 20
+
+
 def sketch_algebra(pairs: DataFrame, sketches: DataFrame, *, by: str = "doc_id") -> DataFrame:
     """Estimates ``(a, b, both, either, jaccard)`` for pairs of sketched groups, from the
     sketches alone."""

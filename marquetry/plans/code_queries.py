@@ -513,11 +513,9 @@ def bit_distance(spark, sf):
 @query("SELECT doc_id, TRUE AS near FROM documents WHERE len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) > 2 AND len(regexp_extract_all(lower(text), '[a-z0-9_]+')) >= 3")
 def theta_sketches(spark, sf):
     """Distinct grams of documents from sketches, within five percent of the exact count."""
-    grams = S.document_grams(read_table(spark, sf, "documents"))
-    exact = grams.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    j = exact.join(S.distinct_sketches(grams), "doc_id").withColumn("near", F.abs(F.col("distinct") - F.col("n")) <= 0.05 * F.col("n") + 1)
-    w = read_table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("w")).filter("size(array_distinct(w)) > 2 and size(w) >= 3").select("doc_id")
-    return j.join(w, "doc_id", "left_semi").select("doc_id", "near")
+    made = S.document_sketches(read_table(spark, sf, "documents"))
+    near = F.abs(F.col("distinct") - F.col("grams")) <= 0.05 * F.col("grams") + 1
+    return made.filter("words > 2").select("doc_id", near.alias("near"))
 
 
 # -- end to end over literal sources ------------------------------------------------------

@@ -526,3 +526,31 @@ def test_terms_are_weighed_in_their_row(spark):
         assert len(got) == len(want) and {(r.doc_id, r.term): r.weight for r in got} == pytest.approx(want, rel=1e-12)
     assert "Exchange" not in plan(S.tf_idf(docs.filter("doc_id <> 3")))
     assert S.tf_idf(docs.limit(0)).count() == 0
+
+
+def test_sketches_are_made_in_their_row(spark, tmp_path, monkeypatch):
+    """The same sketches as Spark makes of grams, and none of them moves."""
+    from marquetry.operators import similarity as S
+    from marquetry.plans.code_queries import theta_sketches
+
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choice("aB_9") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(0, 120)))) for i in range(50)]
+    rows += [(60, None), (61, ""), (62, "a b"), (63, "a a a a"), (64, "x-y É z" + "q" * 5000), (65, "c d e"), (66, "é a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for size in (100, 1 << 21):
+        monkeypatch.setattr(S, "GRAM_PART", size)
+        for k, lg_k in ((3, 12), (3, 5), (1, 4)):
+            grams = S.document_grams(docs, k=k)
+            want = S.distinct_sketches(grams, lg_k=lg_k).select("doc_id", F.col("theta").alias("t"), F.col("distinct").alias("d"))
+            made = S.document_sketches(docs, k=k, lg_k=lg_k).join(want, "doc_id", "full_outer")
+            both = made.select("doc_id", "grams", "distinct", "d", F.expr("theta_sketch_estimate(theta_intersection(theta, t))").alias("i"), F.expr(f"theta_sketch_estimate(theta_union(theta, t, {lg_k}))").alias("u"))
+            count = {r.doc_id: r.n for r in grams.groupBy("doc_id").agg(F.count("gram").alias("n")).collect()}
+            got = both.collect()
+            assert {r.doc_id: r.grams for r in got} == count and all(r.distinct == r.d == r.i == r.u for r in got)
+    # As in the SQL, rows of one id and of none have a row each.
+    more = docs.union(spark.createDataFrame([(65, "c d e f"), (None, "a b c")], docs.schema))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    found = theta_sketches(spark, str(tmp_path))
+    kept = sorted((r.doc_id for r in found.collect() if r.near), key=str)
+    assert kept == sorted([i for i, t in rows if t and len(set("".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in t.lower()).split())) > 2] + [65, None], key=str)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
